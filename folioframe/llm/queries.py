@@ -45,6 +45,48 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.line_dedup import repeated_lines, without_lines
+
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    got = without_lines(docs, repeated_lines(docs), digest=True)
+    return got.select("doc.doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.bitsliced import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.language_id import predict, train
+
+    docs = _table(spark, sf_dir, "documents")
+    languages, model = train(docs, _fold(3) != 1)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (_fold(3) == 1).alias("held_out"))
+    return predict(narrow, languages, model).select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.llm.mixing import mixed
 
@@ -84,15 +126,38 @@ FROM drawn
 """
 
 
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+  FROM (SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+), keyed AS (
+  SELECT doc_id, pos, line, CASE WHEN length(bare) >= 40
+    THEN translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS key FROM lines
+), heavy AS (
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT k.*, h.key IS NOT NULL AND k.doc_id <> h.last_doc AS gone FROM keyed k LEFT JOIN heavy h ON k.key = h.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_sharding": op2_sharding,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_quality_rules": op4_quality_rules,
+        "op5_line_dedup": op5_line_dedup,
+        "op7_exact_topk": op7_exact_topk,
+        "op8_packing": op8_packing,
+        "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op7_exact_topk": OP7_SQL, "op10_mixing": OP10_SQL}

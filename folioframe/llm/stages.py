@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioframe.llm.decision_list import keep_good
+from folioframe.llm.line_dedup import dedupe_lines
 from folioframe.llm.minhash import drop_near_duplicates
 from folioframe.llm.mixing import emit
+from folioframe.llm.packing import pack
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,3 +24,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return emit(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long lines found in five documents or more stay only in the last of them."""
+    return dedupe_lines(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens; returns the pieces and their places."""
+    return pack(docs)
