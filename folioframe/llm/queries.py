@@ -53,6 +53,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc.doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.llm.bitsliced import top_k
 
@@ -152,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_quality_rules": op4_quality_rules,
         "op5_line_dedup": op5_line_dedup,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_exact_topk": op7_exact_topk,
         "op8_packing": op8_packing,
         "op9_language_id": op9_language_id,
