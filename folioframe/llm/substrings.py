@@ -332,7 +332,7 @@ def decide(prefix: np.ndarray, lengths: np.ndarray, lefts: list[bytes], rank: np
             ok = np.nonzero((width >= off) & (lengths >= WINDOW - off))[0]
             if len(ok) < 2:
                 continue
-            label = mix(h[ok] ^ mix(block[ok].astype(np.uint64) + GOLD))
+            label = mix(h[ok] + block[ok].astype(np.uint64))
             order = np.lexsort((rank[ok], label))
             s, r = label[order], rank[ok][order]
             first = np.concatenate(([True], s[1:] != s[:-1]))
