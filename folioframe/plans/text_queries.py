@@ -27,12 +27,19 @@ def _values() -> str:
     return ", ".join(f"({-1 - k}, '" + s.replace("'", "''") + "')" for k, s in enumerate(SAMPLES))
 
 
+def samples(spark: SparkSession) -> DataFrame:
+    """(id, text) of the literal rows."""
+    return spark.createDataFrame([(-1 - k, s) for k, s in enumerate(SAMPLES)], "id long, text string")
+
+
+SAMPLE_ROWS = f"samples AS (SELECT CAST(id AS BIGINT) AS id, text FROM (VALUES {_values()}) v(id, text))"
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): the samples, all turns of conversations and all benchmark passages."""
-    samples = spark.createDataFrame([(-1 - k, s) for k, s in enumerate(SAMPLES)], "id long, text string")
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), "text")
     items = table(spark, sf_dir, "benchmark").select((1_000_000_000 + F.col("item_id")).cast("long").alias("id"), "text")
-    return samples.unionByName(turns).unionByName(items)
+    return samples(spark).unionByName(turns).unionByName(items)
 
 
 TEXTS = f"""texts AS (SELECT CAST(id AS BIGINT) AS id, text FROM (VALUES {_values()}) v(id, text)
