@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from folioframe.plans import evaluation_queries, relational_queries, retrieval_queries, text_queries  # noqa: F401
+from folioframe.plans import (  # noqa: F401
+    evaluation_queries,
+    layout_queries,
+    relational_queries,
+    retrieval_queries,
+    text_queries,
+)
 from folioframe.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "hybrid_retrieve"

@@ -200,7 +200,7 @@ def true_bm25(spark, sf_dir):
     TRY_CAST(nullif(regexp_extract(lower(text), '(^|[^{WC}])(page|pg|p\\.?)\\s*(\\d+)($|[^{WC}])', 3), '') AS INTEGER) AS target,
     list_filter(list_distinct(regexp_extract_all(lower(text), '[{WC}]+')), lambda t: NOT list_contains([{", ".join("'" + w + "'" for w in T.FIGURE_STOP_WORDS)}], t)) AS tokens FROM samples),
   k AS (SELECT query_id, figure_id, document_id, page_number, visual,
-    CAST((CASE WHEN target IS NULL THEN 0.0 WHEN page_number = target THEN 120.0 ELSE -50.0 END) + 15.0 * len(list_filter(tokens, lambda t: contains(lower(caption || ' ' || label || ' ' || filename), t)) AS DOUBLE) AS score
+    CAST((CASE WHEN target IS NULL THEN 0.0 WHEN page_number = target THEN 120.0 ELSE -50.0 END) + 15.0 * len(list_filter(tokens, lambda t: contains(lower(caption || ' ' || label || ' ' || filename), t))) AS DOUBLE) AS score
     FROM man, asked WHERE visual OR target IS NOT NULL),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, figure_id) AS rank FROM k WHERE score > 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, figure_id, document_id, page_number, score FROM r WHERE rank <= 3""",
