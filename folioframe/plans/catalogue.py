@@ -7,6 +7,7 @@ from folioframe.plans import (  # noqa: F401
     layout_queries,
     relational_queries,
     retrieval_queries,
+    stream_queries,
     text_queries,
 )
 from folioframe.plans.registry import ORACLES, QUERIES
