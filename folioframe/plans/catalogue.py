@@ -5,6 +5,7 @@ from __future__ import annotations
 from folioframe.plans import (  # noqa: F401
     evaluation_queries,
     layout_queries,
+    qa_queries,
     relational_queries,
     retrieval_queries,
     stream_queries,
