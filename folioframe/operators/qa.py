@@ -128,10 +128,8 @@ def retrieve_evidence(sub_queries: DataFrame, chunks: DataFrame, pool: int = 10,
     The first occurrence of a chunk over a question's sub-queries wins; the order is by sub-query, then rank.
     """
     keys = ("question_id", "sq")
-    score = F.round(R.cosine(F.col("embedding"), F.col("query_vector")), 9)
-    scored = chunks.crossJoin(F.broadcast(sub_queries)).select(*keys, "query", "chunk_id", "document_id", "page_number", "text", score.alias("dense_score"))
-    near = Window.partitionBy(*keys).orderBy(F.desc("dense_score"), "chunk_id")
-    dense = scored.withColumn("dense_rank", F.row_number().over(near)).filter(F.col("dense_rank") <= pool)
+    near = R.dense_many(chunks, sub_queries, keys, pool)
+    dense = near.join(chunks.drop("embedding"), "chunk_id")
     best = R.hybrid(dense.select(*keys, "chunk_id", "text", "dense_rank"), sub_queries.select(*keys, "query"), fused, keys)
     rows = dense.select(*keys, "chunk_id", "document_id", "page_number", "text")
     found = best.join(rows, [*keys, "chunk_id"])
@@ -158,16 +156,18 @@ def agent(questions: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFr
     planned = plan_queries(questions).join(vectors, "question_id")
 
     def attempt(sub: DataFrame, asked: DataFrame, pool: int) -> DataFrame:
-        evidence = retrieve_evidence(sub, chunks, pool)
+        evidence = retrieve_evidence(sub, chunks, pool).persist()  # a few rows a question, used twice
         answers = extractive_answers(asked, evidence)
         cited = evidence.select(F.col("question_id").alias("answer_id"), F.col("document_id").cast("string").alias("document_id"), F.col("document_id").cast("string").alias("filename"), "page_number")
         verdict = R.verify_citations(answers.select(F.col("question_id").alias("answer_id"), "answer"), cited)
         return answers.join(verdict.withColumnRenamed("answer_id", "question_id"), "question_id")
 
-    first = attempt(planned, questions, 10)
+    first = attempt(planned, questions, 10).persist()
     again = first.filter("recommend_retry").select("question_id")
-    second = attempt(planned.join(again, "question_id", "left_semi"), questions.join(again, "question_id", "left_semi"), 20)
-    done = first.filter("not recommend_retry").withColumn("retries", F.lit(0)).unionByName(second.withColumn("retries", F.lit(1)))
+    done = first.filter("not recommend_retry").withColumn("retries", F.lit(0))
+    if not again.isEmpty():
+        second = attempt(planned.join(again, "question_id", "left_semi"), questions.join(again, "question_id", "left_semi"), 20)
+        done = done.unionByName(second.withColumn("retries", F.lit(1)))
     refused = T.says_insufficient(F.col("answer"))
     return done.withColumn("n_citations", F.when(refused, F.lit(0)).otherwise(F.col("n_citations")))
 

@@ -58,6 +58,53 @@ def dense_top_k(chunks: DataFrame, vector: DataFrame, k: int, threshold: float =
     return top.withColumn("dense_rank", F.row_number().over(order))
 
 
+#: Query vectors that one pass over the chunks scores; they are broadcast (8 bytes a component).
+QUERY_BLOCK = 4096
+
+
+def dense_many(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...], k: int) -> DataFrame:
+    """The k nearest chunks of every query: ``*keys, chunk_id, dense_score, dense_rank``.
+
+    chunks(chunk_id, embedding), queries(*keys, query_vector). A pass multiplies Arrow batches of chunks
+    with a block of at most ``QUERY_BLOCK`` queries and sends k rows a query and batch on to the ranking;
+    more queries take more passes in the same plan.
+    """
+    rows = queries.select(*keys, "query_vector").collect()
+    out = None
+    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
+        block = rows[at : at + QUERY_BLOCK]
+        part = _nearest(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding"), [r["query_vector"] for r in block], k)
+        names = chunks.sparkSession.createDataFrame([(n, *(r[c] for c in keys)) for n, r in enumerate(block)], "_q int, " + ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys))
+        part = part.join(F.broadcast(names), "_q").select(*keys, "chunk_id", "dense_score")
+        out = part if out is None else out.unionByName(part)
+    order = Window.partitionBy(*keys).orderBy(F.desc("dense_score"), "chunk_id")
+    return out.withColumn("dense_rank", F.row_number().over(order)).filter(F.col("dense_rank") <= k)
+
+
+def _nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+    asked = unit(np.array(vectors, float)) if vectors else np.zeros((0, 1))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows or not len(asked):
+                continue
+            ids = np.array(b.column(0).to_pylist(), np.int64)
+            v = unit(np.array(b.column(1).to_pylist(), float))
+            scores = np.round(asked @ v.T, 9) + 0.0
+            for q, row in enumerate(scores):
+                best = np.lexsort((ids, -row))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q, np.int32)), pa.array(ids[best]), pa.array(row[best])], names=["_q", "chunk_id", "dense_score"])
+
+    return chunks.mapInArrow(run, "_q int, chunk_id long, dense_score double")
+
+
 def bm25_tf(pool: DataFrame, query: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Term-frequency BM25 without document frequencies, average length over the pool.
 

@@ -102,9 +102,9 @@ def multi_query_retrieve(spark, sf_dir):
     """Every benchmark passage is a sub-query row: one job for all, first occurrence of a chunk wins."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sq"), F.col("embedding").alias("q"))
     sq = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sq"), F.col("text").alias("query")).join(v, "sq")
-    scored = chunks(spark, sf_dir).crossJoin(F.broadcast(sq)).select("sq", "chunk_id", "text", F.round(R.cosine(F.col("embedding"), F.col("q")), 9).alias("s"))
-    order = Window.partitionBy("sq").orderBy(F.desc("s"), "chunk_id")
-    pool = scored.withColumn("dense_rank", F.row_number().over(order)).filter("dense_rank <= 10")
+    known = chunks(spark, sf_dir)
+    near = R.dense_many(known, sq.withColumnRenamed("q", "query_vector"), ("sq",), 10)
+    pool = near.join(known.select("chunk_id", "text"), "chunk_id")
     fused = R.hybrid(pool, sq.select("sq", "query"), 6, ("sq",))
     first = Window.partitionBy("chunk_id").orderBy("sq", "rank")
     return fused.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("chunk_id", F.col("sq").alias("sub_query"), "rank")
