@@ -14,6 +14,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import random
 import struct
 import zlib
@@ -49,11 +50,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.fast = None
+        self.path, self.slow, self.fast = path, None, None
         try:
             import base64
 
@@ -66,6 +63,20 @@ class Encoder:
         except (ImportError, FileNotFoundError):
             pass
 
+    @classmethod
+    @functools.lru_cache(maxsize=1)
+    def of(cls, path: str) -> Encoder:
+        """One coder a worker process, whatever the number of its tasks."""
+        return cls(path)
+
+    def _slowly(self, text: str) -> list[int]:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        return self.slow.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.full(1, END_ID, "<u4")
@@ -77,7 +88,7 @@ class Encoder:
                 if isinstance(e, (KeyboardInterrupt, SystemExit)):
                     raise
         if got is None:
-            got = self.slow.encode(text, add_special_tokens=False).ids
+            got = self._slowly(text)
         got.append(END_ID)
         return np.array(got, "<u4")
 
@@ -86,7 +97,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     """``doc_id, piece, start, length, ids_crc32``; only the first piece of a cut document may be shorter."""
 
     def make():
-        coder = Encoder(vocabulary)
+        coder = Encoder.of(vocabulary)
 
         def work(x):
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
