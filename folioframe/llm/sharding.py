@@ -35,10 +35,11 @@ class SlotMap:
     def rebalanced(self, load: dict[int, int], shards: int | None = None) -> SlotMap:
         """The next version: slots leave shards above the mean load for the least loaded ones.
 
-        With more ``shards`` the new ones start empty. Moves go on while they bring the fullest and the
-        emptiest shard closer, so slots that need not move stay.
+        With more ``shards`` the new ones start empty, and slots move into them alone. Else moves go on
+        while they bring the fullest and the emptiest shard closer; slots that need not move stay.
         """
         shards = shards or self.shards
+        open_to = range(self.shards, shards) if shards > self.shards else range(shards)
         held: list[list[int]] = [[] for _ in range(shards)]
         for slot in range(len(self.shard_of)):
             if load.get(slot):
@@ -54,10 +55,10 @@ class SlotMap:
                     total[k] -= load[s]
                     pool.append(s)
         for s in sorted(pool, key=lambda s: (-load[s], s)):
-            k = min(range(shards), key=lambda i: (total[i], i))
+            k = min(open_to, key=lambda i: (total[i], i))
             held[k].append(s)
             total[k] += load[s]
-        while held[full := max(range(shards), key=lambda i: (total[i], -i))]:
+        while shards <= self.shards and held[full := max(range(shards), key=lambda i: (total[i], -i))]:
             least = min(range(shards), key=lambda i: (total[i], i))
             gap = total[full] - total[least]
             give = min(held[full], key=lambda s: (abs(2 * load[s] - gap), s))
@@ -74,7 +75,7 @@ class SlotMap:
                     held[b].append(s)
                     total[a] -= load[s]
                     total[b] += load[s]
-        shard_of = [s % shards if s % shards < shards else 0 for s in self.shard_of]
+        shard_of = [s % shards for s in self.shard_of]
         for k, h in enumerate(held):
             for s in h:
                 shard_of[s] = k
