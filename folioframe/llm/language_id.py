@@ -15,6 +15,8 @@ sorts first; repeated rows count as often as they occur.
 from __future__ import annotations
 
 import base64
+import functools
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -28,8 +30,10 @@ LONGEST_PIECE = 10
 LONGEST_BATCHED = 24
 STEPS = 2
 SMOOTH = 0.05
-#: Distinct words a task holds at once.
-MEMO_WORDS = 400_000
+#: Distinct words a worker holds at once.
+MEMO_WORDS = 600_000
+#: Words that go through the lattice together.
+CHUNK = 4_000
 UNKNOWN = "und"
 
 
@@ -52,22 +56,75 @@ def lattice(n: int) -> list[tuple[int, int]]:
     return [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST_PIECE), j)]
 
 
+class Pieces(dict):
+    """piece -> number, and the same by 64-bit hashes for whole arrays of strings (cuckoo hashing)."""
+
+    SLOTS = 17
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, found: list[bytes]) -> None:
+        super().__init__((x, k) for k, x in enumerate(found))
+        self.keys_, self.numbers = np.zeros((2, 1 << self.SLOTS), np.uint64), np.full((2, 1 << self.SLOTS), len(self), np.int32)
+        step, full = int(self.STEP), (1 << 64) - 1
+        for x, k in self.items():
+            h = 0
+            for byte in x:
+                h = (h + byte + 1) * step & full
+            side = 0
+            while True:  # whoever is pushed out moves to its place on the other side
+                at = self._slot(h, side)
+                h_, k_ = int(self.keys_[side, at]), int(self.numbers[side, at])
+                self.keys_[side, at], self.numbers[side, at] = h, k
+                if k_ == len(self):
+                    break
+                h, k, side = h_, k_, 1 - side
+
+    def _slot(self, h, side: int):
+        if isinstance(h, int):
+            return (h >> 64 - self.SLOTS) if not side else (h >> 20) & ((1 << self.SLOTS) - 1)
+        if not side:
+            return (h >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        return ((h >> np.uint64(20)) & np.uint64((1 << self.SLOTS) - 1)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the strings with these hashes; ``len(self)`` for those that are no piece."""
+        a, b = self._slot(hashes, 0), self._slot(hashes, 1)
+        other = np.where(self.keys_[1][b] == hashes, self.numbers[1][b], np.int32(len(self)))
+        return np.where(self.keys_[0][a] == hashes, self.numbers[0][a], other)
+
+
+@functools.lru_cache(maxsize=1)
+def load_pieces(path: str) -> Pieces:
+    """The pieces of a file, once a worker process."""
+    return Pieces(list(read_pieces(path)))
+
+
 class Model:
     """``p[piece, language]``; one more row of zeros stands for strings that are no piece."""
 
-    def __init__(self, pieces: dict[bytes, int], p: np.ndarray) -> None:
+    def __init__(self, pieces: Pieces, p: np.ndarray) -> None:
         self.pieces, self.p = pieces, np.vstack([p, np.zeros((1, p.shape[1]))])
 
     def _arcs(self, words: list[bytes], n: int) -> np.ndarray:
-        get, none, arcs = self.pieces.get, len(self.pieces), lattice(n)
-        flat = np.fromiter((get(w[i:j], none) for w in words for i, j in arcs), np.int32, len(words) * len(arcs))
-        return flat.reshape(len(words), len(arcs))
+        """Piece numbers of all substrings of words of ``n`` bytes: arcs of the lattice x words."""
+        letters = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
+        hashes = np.empty((len(lattice(n)), len(words)), np.uint64)
+        running: list[np.ndarray] = []
+        at = 0
+        with np.errstate(over="ignore"):
+            for j in range(n):
+                running = [*running, np.zeros(len(words), np.uint64)][-LONGEST_PIECE:]
+                running = [(h + letters[j]) * Pieces.STEP for h in running]
+                for h in running:
+                    hashes[at] = h
+                    at += 1
+        return self.pieces.find(hashes)
 
     def _forward(self, ids: np.ndarray, n: int) -> np.ndarray:
-        a = np.zeros((n + 1, len(ids), self.p.shape[1]))
+        a = np.zeros((n + 1, ids.shape[1], self.p.shape[1]))
         a[0] = 1
         for s, (i, j) in enumerate(lattice(n)):
-            a[j] += a[i] * self.p[ids[:, s]]
+            a[j] += a[i] * self.p[ids[s]]
         return a
 
     def long_word(self, word: bytes) -> np.ndarray:
@@ -97,8 +154,8 @@ class Model:
                 for k in rows:
                     out[k] = self.long_word(words[k])
                 continue
-            for at in range(0, len(rows), 20_000):
-                some = rows[at : at + 20_000]
+            for at in range(0, len(rows), CHUNK):
+                some = rows[at : at + CHUNK]
                 out[some] = np.log(np.maximum(self._forward(self._arcs([words[k] for k in some], n), n)[n], 1e-300))
         return out
 
@@ -111,21 +168,52 @@ class Model:
                 by.setdefault(len(w[at : at + LONGEST_BATCHED]), []).append((w[at : at + LONGEST_BATCHED], counts[w]))
         for n, got in by.items():
             arcs = lattice(n)
-            for at in range(0, len(got), 20_000):
-                some = got[at : at + 20_000]
+            for at in range(0, len(got), CHUNK):
+                some = got[at : at + CHUNK]
                 ids, c = one._arcs([w for w, _ in some], n), np.array([k for _, k in some], float)
                 a = one._forward(ids, n)[:, :, 0]
                 p = one.p[:, 0]
                 b = np.zeros_like(a)
                 b[n] = c / np.maximum(a[n], 1e-300)
+                weight = p[ids]
                 for s in range(len(arcs) - 1, -1, -1):
                     i, j = arcs[s]
-                    b[i] += b[j] * p[ids[:, s]]
+                    b[i] += b[j] * weight[s]
                 for s, (i, j) in enumerate(arcs):
-                    out += np.bincount(ids[:, s], a[i] * p[ids[:, s]] * b[j], len(out))
+                    weight[s] *= a[i] * b[j]
+                out += np.bincount(ids.ravel(), weight.ravel(), len(out))
         return out[:-1]
 
 
+class _State:
+    """Scores of the words that a worker process has met, for one model."""
+
+    def __init__(self, path: str, p: np.ndarray) -> None:
+        self.model = Model(load_pieces(path), p)
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[bytes, int] = {}
+        self.table = np.empty((1 << 16, self.model.p.shape[1]))
+
+    def learn(self, words: list[bytes]) -> None:
+        n = len(self.memo)
+        while n + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[n : n + len(words)] = self.model.log_words(words)
+        self.memo.update(zip(words, range(n, n + len(words))))
+
+
+_states: dict[str, _State] = {}
+
+
+def _state(token: str, path: str, p: np.ndarray) -> _State:
+    if token not in _states:
+        _states.clear()
+        _states[token] = _State(path, p)
+    return _states[token]
+
+
 def text_words(text: str) -> list[bytes]:
     return [b" " + w for w in text.lower().encode().split()]
 
@@ -133,7 +221,7 @@ def text_words(text: str) -> list[bytes]:
 def train(docs: DataFrame, fold: Column, vocabulary: str | None = None, steps: int = STEPS) -> tuple[list[str], Model]:
     """Languages and their model, from all texts with a language for which ``fold`` holds."""
     path = vocabulary or default_vocabulary()
-    pieces = read_pieces(path)
+    pieces = load_pieces(path)
     rows = docs.filter(fold & F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     p = np.full((len(pieces), len(languages)), 1 / len(pieces))
@@ -154,7 +242,7 @@ def _expected_counts(rows: DataFrame, path: str, languages: list[str], p: np.nda
     def run(batches):
         import pyarrow as pa
 
-        model, held = Model(read_pieces(path), shared.value), [Counter() for _ in languages]
+        model, held = Model(load_pieces(path), shared.value), [Counter() for _ in languages]
         number = {x: k for k, x in enumerate(languages)}
         uses = np.zeros((len(model.pieces), len(languages)))
 
@@ -183,28 +271,26 @@ def predict(docs: DataFrame, languages: list[str], model: Model, vocabulary: str
     path = vocabulary or default_vocabulary()
     shared = docs.sparkSession.sparkContext.broadcast(model.p[:-1])
 
+    token = uuid.uuid4().hex
+
     def make():
-        own = Model(read_pieces(path), shared.value)
-        memo: dict[bytes, int] = {}
-        table = np.empty((0, len(languages)))
+        state = _state(token, path, shared.value)
 
         def work(texts):
-            nonlocal table
+            memo = state.memo
             if len(memo) > MEMO_WORDS:
-                memo.clear()
-                table = np.empty((0, len(languages)))
+                state.forget()
             out = {"lang_pred": [], "score": []}
             lists = [text_words(t) if t and languages and any(map(str.isalpha, t)) else None for t in texts]
             fresh = list({w for ws in lists if ws for w in ws if w not in memo})
             if fresh:
-                memo.update(zip(fresh, range(len(memo), len(memo) + len(fresh))))
-                table = np.vstack([table, own.log_words(fresh)])
+                state.learn(fresh)
             for ws in lists:
                 if not ws:
                     out["lang_pred"].append(UNKNOWN)
                     out["score"].append(0.0)
                     continue
-                total = table[np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))].sum(0)
+                total = state.table[np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))].sum(0)
                 k = int(total.argmax())
                 out["lang_pred"].append(languages[k])
                 out["score"].append(float(1 / np.exp(total - total[k]).sum()))
