@@ -60,7 +60,7 @@ def set_recall(pairs: DataFrame, key: str, tokens=T.normalised_tokens) -> DataFr
 
 def page_report(measures: DataFrame, page: str, most_cer: float = 0.05, least_recall: float = 0.95) -> DataFrame:
     """Per page and overall (null page): mean measures and whether they pass."""
-    r = measures.rollup(page).agg(F.round(F.avg("cer"), 6).alias("cer"), F.round(F.avg("recall"), 6).alias("recall"))
+    r = measures.rollup(page).agg(F.round(F.avg("cer"), 9).alias("cer"), F.round(F.avg("recall"), 9).alias("recall"))
     return r.withColumn("passes", (F.col("cer") <= most_cer) & (F.col("recall") >= least_recall))
 
 

@@ -74,7 +74,7 @@ def set_recall(spark, sf_dir):
 @query(
     "evl05_page_report",
     f"""WITH f AS ({F1}), m AS (SELECT CAST(id % 12 AS BIGINT) AS page, round(1 - precision, 6) AS cer, recall FROM f),
-  r AS (SELECT page, round(avg(cer), 6) AS cer, round(avg(recall), 6) AS recall FROM m GROUP BY ROLLUP (page))
+  r AS (SELECT page, round(avg(cer), 9) AS cer, round(avg(recall), 9) AS recall FROM m GROUP BY ROLLUP (page))
 SELECT page, cer, recall, cer <= 0.05 AND recall >= 0.95 AS passes FROM r""",
 )
 def page_report(spark, sf_dir):
