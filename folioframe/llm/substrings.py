@@ -40,9 +40,9 @@ WINDOW = 100
 GRAM = 32
 SPAN = WINDOW - GRAM
 #: Bytes of text whose anchors, or whose sites, one merger handles.
-MERGER_BYTES = 16 << 20
+MERGER_BYTES = 8 << 20
 #: Suffixes that a task sorts into one run.
-RUN = 200_000
+RUN = 50_000
 
 _BASE = np.uint64(0x9E6C63D0876A9A47)
 _BASE_INVERSE = np.uint64(pow(0x9E6C63D0876A9A47, -1, 1 << 64))
@@ -115,16 +115,14 @@ def _anchor_blobs(texts: DataFrame, mergers: int) -> DataFrame:
             docs, where, hashes = np.concatenate(docs), np.concatenate(where), np.concatenate(hashes)
             r = ((hashes >> np.uint64(32)) * np.uint64(mergers)) >> np.uint64(32)
             order = np.argsort(r, kind="stable")
-            cuts = np.searchsorted(r[order], np.arange(mergers + 1, dtype=np.uint64))
-            rs, blobs = [], []
-            for k in range(mergers):
-                some = order[cuts[k] : cuts[k + 1]]
-                if len(some):
-                    own, local = np.unique(docs[some], return_inverse=True)
-                    table = b"".join(keys[i] for i in own.tolist())
-                    blobs.append(struct.pack("<II", len(own), len(some)) + table + hashes[some].tobytes() + local.astype("<u4").tobytes() + where[some].tobytes())
-                    rs.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(rs, pa.int32()), pa.array(blobs, pa.binary())], names=["r", "blob"])
+            met, starts = np.unique(r[order], return_index=True)
+            rs, blobs = met.astype(np.int32), []
+            for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(order)]):
+                some = order[a:b]
+                own, local = np.unique(docs[some], return_inverse=True)
+                table = b"".join(keys[i] for i in own.tolist())
+                blobs.append(struct.pack("<II", len(own), len(some)) + table + hashes[some].tobytes() + local.astype("<u4").tobytes() + where[some].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rs), pa.array(blobs, pa.binary())], names=["r", "blob"])
 
     return texts.select("key", "text").mapInArrow(run, "r int, blob binary")
 
