@@ -185,6 +185,19 @@ class Model:
         return out[:-1]
 
 
+class _Numbers(dict):
+    """word -> place in the table; a new word gets the next place and waits to be scored."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.waiting: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.waiting.append(word)
+        return n
+
+
 class _State:
     """Scores of the words that a worker process has met, for one model."""
 
@@ -193,15 +206,21 @@ class _State:
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.table = np.empty((1 << 16, self.model.p.shape[1]))
 
-    def learn(self, words: list[bytes]) -> None:
-        n = len(self.memo)
-        while n + len(words) > len(self.table):
+    def score(self, lists: list[list[bytes] | None]) -> list[np.ndarray | None]:
+        """log P of each list of words, by language."""
+        if len(self.numbers) > MEMO_WORDS:
+            self.forget()
+        ids = [np.fromiter(map(self.numbers.__getitem__, ws), np.int64, len(ws)) if ws else None for ws in lists]
+        words, n = self.numbers.waiting, len(self.numbers)
+        self.numbers.waiting = []
+        while n > len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[n : n + len(words)] = self.model.log_words(words)
-        self.memo.update(zip(words, range(n, n + len(words))))
+        if words:
+            self.table[n - len(words) : n] = self.model.log_words(words)
+        return [None if x is None else self.table[x].sum(0) for x in ids]
 
 
 _states: dict[str, _State] = {}
@@ -277,20 +296,13 @@ def predict(docs: DataFrame, languages: list[str], model: Model, vocabulary: str
         state = _state(token, path, shared.value)
 
         def work(texts):
-            memo = state.memo
-            if len(memo) > MEMO_WORDS:
-                state.forget()
             out = {"lang_pred": [], "score": []}
             lists = [text_words(t) if t and languages and any(map(str.isalpha, t)) else None for t in texts]
-            fresh = list({w for ws in lists if ws for w in ws if w not in memo})
-            if fresh:
-                state.learn(fresh)
-            for ws in lists:
-                if not ws:
+            for total in state.score(lists):
+                if total is None:
                     out["lang_pred"].append(UNKNOWN)
                     out["score"].append(0.0)
                     continue
-                total = state.table[np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))].sum(0)
                 k = int(total.argmax())
                 out["lang_pred"].append(languages[k])
                 out["score"].append(float(1 / np.exp(total - total[k]).sum()))
