@@ -104,3 +104,52 @@ def manifest(figures: DataFrame) -> DataFrame:
     """A document's figures as one ordered list of structs."""
     item = F.struct("page_number", "number", *[c for c in figures.columns if c not in (*PAGE, "number")])
     return figures.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("figures"))
+
+
+def described(crops: DataFrame, make, column: str = "content", mime: str = "image/png") -> DataFrame:
+    """Adds ``caption`` from an image model made once for each task; a failure is a null, and after a
+    refusal for quota the task asks no more (the fallback sentence then serves)."""
+    import pyarrow as pa
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    whole = StructType([StructField("row", crops.schema), StructField("caption", StringType())])
+
+    def run(batches):
+        model, open_ = make(), True
+        for b in batches:
+            row, out = b.column(0), []
+            for content in row.field(column).to_pylist():
+                text = None
+                if open_ and content:
+                    try:
+                        text = model.describe(content, mime)
+                    except ResourceWarning:
+                        open_ = False
+                    except Exception:  # noqa: BLE001  a failed description is none
+                        text = None
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([row, pa.array(out, pa.string())], names=["row", "caption"])
+
+    return crops.select(F.struct("*").alias("row")).mapInArrow(run, whole).select("row.*", "caption")
+
+
+def rendered(figures: DataFrame, files: DataFrame, make, dpi: int = 150) -> DataFrame:
+    """Adds ``png, width_px, height_px`` of every figure's box, from a renderer made once for each task.
+
+    files(document_id, content); the renderer has ``crop(content, page, box, dpi) -> (png, width, height)``.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
+
+    whole = StructType([StructField("row", figures.schema), StructField("png", BinaryType()), StructField("width_px", IntegerType()), StructField("height_px", IntegerType())])
+    both = figures.select("document_id", F.struct("*").alias("row")).join(files.select("document_id", "content"), "document_id").select("row", "content")
+
+    def run(batches):
+        renderer = make()
+        for b in batches:
+            row = b.column(0)
+            got = [renderer.crop(c, x["page_number"], tuple(x[k] for k in "ltrb"), dpi) for x, c in zip(row.to_pylist(), b.column(1).to_pylist())]
+            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([row, *cols], names=["row", "png", "width_px", "height_px"])
+
+    return both.mapInArrow(run, whole).select("row.*", "png", "width_px", "height_px")

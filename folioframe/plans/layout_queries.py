@@ -45,10 +45,15 @@ def median_line_height(spark, sf_dir):
     return L.median_height(words(spark, sf_dir))
 
 
-FRAGMENTS = f"""gap AS (SELECT *, l - lag(r) OVER (PARTITION BY document_id, row ORDER BY l) AS gap FROM words),
-  frag AS (SELECT *, sum(CASE WHEN gap >= 0 AND gap <= 25 THEN 0 ELSE 1 END) OVER (PARTITION BY document_id, row ORDER BY l) AS f FROM gap),
-  line AS (SELECT document_id, page_number, row, f, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, count(*) AS n_words, {collapse("string_agg(text, ' ' ORDER BY l)")} AS text FROM frag GROUP BY ALL),
-  lines AS (SELECT document_id, page_number, l, t, r, b, n_words, text, row_number() OVER (PARTITION BY document_id, page_number ORDER BY t, l, row, f) AS line_no FROM line)"""
+def fragments(name: str, source: str, gap: float, keys: str = "document_id, page_number") -> str:
+    """SQL for the line fragments of ``source``: rows of words, cut at gaps."""
+    return f"""{name}_gap AS (SELECT *, l - lag(r) OVER (PARTITION BY {keys}, row ORDER BY l) AS gap FROM {source}),
+  {name}_frag AS (SELECT *, sum(CASE WHEN gap >= 0 AND gap <= {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY {keys}, row ORDER BY l) AS f FROM {name}_gap),
+  {name}_line AS (SELECT {keys}, row, f, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, count(*) AS n_words, {collapse("string_agg(text, ' ' ORDER BY l)")} AS text FROM {name}_frag GROUP BY ALL),
+  {name} AS (SELECT {keys}, l, t, r, b, n_words, text, row_number() OVER (PARTITION BY {keys} ORDER BY t, l, row, f) AS line_no FROM {name}_line)"""
+
+
+FRAGMENTS = fragments("lines", "words", 25)
 
 
 @query("geo04_line_fragments", f"WITH {WORDS}, {FRAGMENTS} SELECT * FROM lines")
@@ -153,7 +158,19 @@ def boxes(spark, sf_dir):
     return rects(spark, sf_dir).groupBy("page_number").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
 
-@query("geo17_containment_dedupe")
+KEPT = "least(e.r, o.r) > greatest(e.l, o.l) AND least(e.b, o.b) > greatest(e.t, o.t)"
+COMMON = "(least(e.r, o.r) - greatest(e.l, o.l)) * (least(e.b, o.b) - greatest(e.t, o.t))"
+
+
+@query(
+    "geo17_containment_dedupe",
+    f"""WITH RECURSIVE {RECTS}, o AS (SELECT page_number, l, t, r, b, figure_no, row_number() OVER (PARTITION BY page_number ORDER BY (r - l) * (b - t), figure_no) AS i FROM rects),
+  k AS (SELECT page_number, i, [{{'l': l, 't': t, 'r': r, 'b': b, 'n': figure_no}}] AS kept FROM o WHERE i = 1
+    UNION ALL SELECT k.page_number, o.i, CASE WHEN len(list_filter(kept, lambda e: {KEPT} AND ({COMMON} / greatest(1.0, (o.r - o.l) * (o.b - o.t)) >= 0.85 OR {COMMON} / greatest(1.0, (e.r - e.l) * (e.b - e.t)) >= 0.85))) > 0
+      THEN kept ELSE list_append(kept, {{'l': o.l, 't': o.t, 'r': o.r, 'b': o.b, 'n': o.figure_no}}) END FROM k JOIN o ON o.page_number = k.page_number AND o.i = k.i + 1),
+  z AS (SELECT page_number, kept FROM k QUALIFY row_number() OVER (PARTITION BY page_number ORDER BY i DESC) = 1)
+SELECT page_number, CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS pos, unnest(list_transform(kept, lambda e: e.n)) AS figure_no FROM z""",
+)
 def containment_dedupe(spark, sf_dir):
     kept = boxes(spark, sf_dir).select("page_number", F.posexplode(G.without_contained(F.col("boxes"))).alias("pos", "x"))
     return kept.select("page_number", "pos", "x.figure_no")
@@ -205,32 +222,64 @@ def perturb_invariance(spark, sf_dir):
     return w.groupBy(*L.PAGE).agg(F.count("*").alias("n"), F.min("l").alias("l"), F.max("r").alias("r"), F.min("t").alias("t"), F.max("b").alias("b"))
 
 
-@query("geo05_bands")
+BROKEN = "(h.hd OR h.foot OR (h.t - f.b > 3.5 * h.med AND f.n >= 3 AND NOT f.headed))"
+BANDS = f"""lm AS (SELECT *, coalesce(median(CASE WHEN b - t > 2 THEN b - t END) OVER (PARTITION BY document_id, page_number), 10.0) AS med FROM lines),
+  hh AS (SELECT *, (b - t >= 2.5 * med OR r - l >= 0.35 * 660 OR regexp_matches(text, '{T.HEADING_PREFIX}')) AS hd, t > 0.88 * 792 AS foot FROM lm),
+  fold AS (SELECT document_id, page_number, line_no, 0 AS band, 1 AS n, hd AS headed, b FROM hh WHERE line_no = 1
+    UNION ALL SELECT h.document_id, h.page_number, h.line_no, CASE WHEN {BROKEN} THEN f.band + 1 ELSE f.band END, CASE WHEN {BROKEN} THEN 1 ELSE f.n + 1 END, CASE WHEN {BROKEN} THEN h.hd ELSE f.headed OR h.hd END, h.b
+    FROM fold f JOIN hh h ON h.document_id = f.document_id AND h.page_number = f.page_number AND h.line_no = f.line_no + 1),
+  banded AS (SELECT hh.*, fold.band, arg_min(text, hh.line_no) FILTER (WHERE hd) OVER (PARTITION BY hh.document_id, hh.page_number, fold.band) AS heading FROM hh JOIN fold USING (document_id, page_number, line_no))"""
+
+
+@query("geo05_bands", f"WITH RECURSIVE {WORDS}, {FRAGMENTS}, {BANDS} SELECT document_id, page_number, line_no, CAST(band AS BIGINT) AS band, heading FROM banded")
 def bands(spark, sf_dir):
     return L.bands(L.lines(words(spark, sf_dir)), W, H).select(*L.PAGE, "line_no", "band", "heading")
 
 
-@query("geo08_reading_order")
+@query(
+    "geo08_reading_order",
+    f"""WITH RECURSIVE {WORDS}, {FRAGMENTS}, {BANDS},
+  x AS (SELECT *, heading IS NOT NULL AND text = heading AND row_number() OVER (PARTITION BY document_id, page_number, band, text ORDER BY line_no) = 1 AS head FROM banded),
+  m AS (SELECT document_id, page_number, band, l, max(r) OVER (PARTITION BY document_id, page_number, band ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x WHERE NOT head AND r - l < 429),
+  g AS (SELECT document_id, page_number, band, (reach + l) / 2 AS gutter FROM m WHERE l - reach > 5 AND l - reach >= 0.0227 * 660),
+  c AS (SELECT x.document_id, x.page_number, x.line_no, x.band, count(gutter) AS k FROM x LEFT JOIN g ON g.document_id = x.document_id AND g.page_number = x.page_number AND g.band = x.band AND gutter < (x.l + x.r) / 2 WHERE NOT head GROUP BY ALL),
+  d AS (SELECT document_id, page_number, line_no, dense_rank() OVER (PARTITION BY document_id, page_number, band ORDER BY k) - 1 AS col FROM c)
+SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY band, NOT head, coalesce(col, 0), t, l, line_no) AS block_no, text, coalesce(heading, '') AS section, CAST(band AS BIGINT) AS band,
+  CAST(coalesce(col, 0) AS INTEGER) AS "column", n_words FROM x LEFT JOIN d USING (document_id, page_number, line_no)""",
+)
 def reading_order(spark, sf_dir):
     o = L.reading_order(words(spark, sf_dir), W, H)
     return o.select(*L.PAGE, "block_no", "text", F.array_join("section_path", " > ").alias("section"), "band", "column", "n_words")
 
 
-@query("geo09_legend_items")
+LEGEND = r"^(\d{1,2})[.):\-\s]*\s*(\*+|†)?\s*(.+)$"
+
+
+@query(
+    "geo09_legend_items",
+    rf"""WITH {WORDS}, numbered AS (SELECT * REPLACE (CASE WHEN l = 0 THEN (word_no % 60) || '. ' || text ELSE text END AS text) FROM words), {fragments("lines", "numbered", 35)},
+  note AS (SELECT document_id, page_number, regexp_extract(text, '^(\*+|†|‡)\s*(.+)$', 1) AS marker, {trim("arg_max(regexp_extract(text, '^(" + chr(92) + "*+|†|‡)" + chr(92) + "s*(.+)$', 2), line_no)")} AS footnote FROM lines WHERE regexp_matches(text, '^(\*+|†|‡)\s*(.+)$') GROUP BY ALL),
+  item AS (SELECT document_id, page_number, line_no, t, text, CAST(regexp_extract(text, '{LEGEND}', 1) AS INTEGER) AS number, regexp_extract(text, '{LEGEND}', 2) AS mark, {trim("regexp_extract(text, '" + LEGEND + "', 3)")} AS label FROM lines WHERE regexp_matches(text, '{LEGEND}')),
+  top AS (SELECT *, CASE WHEN mark <> '' THEN mark WHEN contains(split_part(text, ':', 1), '*') THEN '*' ELSE '' END AS marker FROM item WHERE number BETWEEN 1 AND 50 QUALIFY row_number() OVER (PARTITION BY document_id, page_number, number ORDER BY t, line_no) = 1)
+SELECT top.document_id, top.page_number, number, {trim("split_part(label, ':', 1)")} AS name, top.marker, coalesce(footnote, '') AS footnote FROM top LEFT JOIN note ON note.document_id = top.document_id AND note.page_number = top.page_number AND note.marker = top.marker""",
+)
 def legend_items(spark, sf_dir):
     w = words(spark, sf_dir)
     numbered = w.withColumn("text", F.when(F.col("l") == 0, F.concat((F.col("word_no") % 60).cast("string"), F.lit(". "), "text")).otherwise(F.col("text")))
     return L.legend(numbered).select(*L.PAGE, "number", "name", "marker", "footnote")
 
 
-@query(
-    "geo11_table_zones",
-    f"""WITH {WORDS}, inside AS (SELECT * FROM words WHERE t >= 792 * 0.08 AND b <= 792 * 0.92),
+ZONES = """inside AS (SELECT * FROM words WHERE t >= 792 * 0.08 AND b <= 792 * 0.92),
   m AS (SELECT document_id, page_number, l, max(r) OVER (PARTITION BY document_id, page_number ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM inside),
   g AS (SELECT document_id, page_number, reach, l FROM m WHERE l - reach > 0 AND l - reach >= 2.5),
   ends AS (SELECT document_id, page_number, min(l) AS a, max(r) AS z FROM inside GROUP BY ALL),
   cuts AS (SELECT document_id, page_number, a AS zone_l, NULL AS stop FROM ends UNION ALL SELECT document_id, page_number, l, reach FROM g),
-  zones AS (SELECT c.document_id, c.page_number, zone_l, coalesce(lead(stop) OVER w, z) AS zone_r, row_number() OVER w - 1 AS zone_id FROM cuts c JOIN ends e ON e.document_id = c.document_id AND e.page_number = c.page_number WINDOW w AS (PARTITION BY c.document_id, c.page_number ORDER BY zone_l))
+  zones AS (SELECT c.document_id, c.page_number, zone_l, coalesce(lead(stop) OVER w, z) AS zone_r, row_number() OVER w - 1 AS zone_id FROM cuts c JOIN ends e ON e.document_id = c.document_id AND e.page_number = c.page_number WINDOW w AS (PARTITION BY c.document_id, c.page_number ORDER BY zone_l))"""
+
+
+@query(
+    "geo11_table_zones",
+    f"""WITH {WORDS}, {ZONES}
 SELECT i.document_id, i.page_number, CAST(zone_id AS INTEGER) AS zone_id, count(*) AS n_words, min(i.l) AS zl, min(i.t) AS zt, max(i.r) AS zr, max(i.b) AS zb FROM inside i
 JOIN zones z ON z.document_id = i.document_id AND z.page_number = i.page_number AND (i.l + i.r) / 2 BETWEEN zone_l - 2 AND zone_r + 2 GROUP BY ALL HAVING count(*) >= 2""",
 )
@@ -239,7 +288,17 @@ def table_zones(spark, sf_dir):
     return z.groupBy(*L.PAGE, "zone_id").agg(F.count("*").alias("n_words"), F.min("l").alias("zl"), F.min("t").alias("zt"), F.max("r").alias("zr"), F.max("b").alias("zb"))
 
 
-@query("geo12_title_link")
+@query(
+    "geo12_title_link",
+    f"""WITH {WORDS}, {ZONES},
+  placed AS (SELECT i.*, zone_id FROM inside i JOIN zones z ON z.document_id = i.document_id AND z.page_number = i.page_number AND (i.l + i.r) / 2 BETWEEN zone_l - 2 AND zone_r + 2),
+  full_zone AS (SELECT * FROM placed QUALIFY count(*) OVER (PARTITION BY document_id, page_number, zone_id) >= 2),
+  {fragments("own", "full_zone", 15, "document_id, page_number, zone_id")}, {fragments("every", "inside", 20)},
+  box AS (SELECT document_id, page_number, zone_id, min(l) AS zl, min(t) AS zt, max(r) AS zr, count(*) AS n_words FROM full_zone GROUP BY ALL),
+  near AS (SELECT b.document_id, b.page_number, b.zone_id, arg_min(e.text, abs(zt - e.b) * 100000 + e.line_no) AS title FROM box b JOIN every e ON e.document_id = b.document_id AND e.page_number = b.page_number
+    AND e.b <= zt + 15 AND zt - e.b <= 50 AND (e.l + e.r) / 2 BETWEEN zl - 25 AND zr + 25 WHERE NOT (contains(e.text, ':') OR contains(e.text, 'lbs') OR contains(e.text, 'rpm') OR contains(e.text, 'hp')) GROUP BY ALL)
+SELECT document_id, page_number, CAST(zone_id AS INTEGER) AS zone_id, coalesce(title, own.text) AS title, own.text AS first_line, box.n_words FROM box JOIN own USING (document_id, page_number, zone_id) LEFT JOIN near USING (document_id, page_number, zone_id) WHERE own.line_no = 1""",
+)
 def title_link(spark, sf_dir):
     return L.table_zones(words(spark, sf_dir), W, H).select(*L.PAGE, "zone_id", "title", "first_line", "n_words")
 
@@ -382,7 +441,22 @@ def pipeline_chunks(spark, sf_dir):
     return chunks.select(*L.PAGE, "chunk_id", F.array_join("section_path", " > ").alias("section"), "chunk_type", "tokens")
 
 
-@query("snk03_page_profile")
+COLUMNS = """x AS (SELECT document_id, page_number, count(*) AS n, count(*) FILTER (WHERE r - l < 495) AS body,
+    count(*) FILTER (WHERE r - l < 495 AND least(2, floor((l + r) / 2 / 220)) = 0) AS c0, count(*) FILTER (WHERE r - l < 495 AND least(2, floor((l + r) / 2 / 220)) = 1) AS c1,
+    count(*) FILTER (WHERE r - l < 495 AND least(2, floor((l + r) / 2 / 220)) = 2) AS c2 FROM lines GROUP BY ALL),
+  est AS (SELECT document_id, page_number, CAST(CASE WHEN n < 3 OR body < 3 THEN 1 ELSE greatest(1, (c0 >= greatest(2, 0.15 * body))::INT + (c1 >= greatest(2, 0.15 * body))::INT + (c2 >= greatest(2, 0.15 * body))::INT) END AS INTEGER) AS column_count FROM x)"""
+
+
+@query(
+    "snk03_page_profile",
+    rf"""WITH {WORDS}, {FRAGMENTS}, {COLUMNS}, p AS (SELECT document_id, page_number, {trim("string_agg(text, ' ' ORDER BY word_no)")} AS t, (document_id % 10) / 10.0 AS image_ratio FROM words GROUP BY ALL),
+  q AS (SELECT *, CAST(length(t) AS DOUBLE) AS n, length(regexp_replace(t, '[^	-
+ -~{T.CLEAN_CHARS}]', '', 'g')) AS good, length(regexp_replace(t, '\s+', '', 'g')) / CAST(len(regexp_split_to_array(t, '\s+')) AS DOUBLE) AS mean FROM p),
+  v AS (SELECT *, CASE WHEN t = '' THEN 0.0 ELSE round(good / n * 0.7 + 0.3 * CASE WHEN mean < 2 THEN mean / 2 WHEN mean <= 15 THEN 1.0 ELSE greatest(0.0, 1 - (mean - 15) / 15) END, 4) END AS quality FROM q)
+SELECT document_id, page_number, CAST(n AS BIGINT) AS char_count, round(n / 522720.0, 6) AS char_density, quality AS text_quality, CAST(image_ratio AS DOUBLE) AS image_ratio, coalesce(column_count, 1) AS column_count,
+  CASE WHEN NOT (n >= 50 AND quality >= 0.65) AND n >= 50 AND image_ratio > 0.1 THEN 'hybrid' WHEN NOT (n >= 50 AND quality >= 0.65) THEN 'scanned' WHEN image_ratio > 0.35 THEN 'hybrid' ELSE 'text_native' END AS route
+FROM v LEFT JOIN est USING (document_id, page_number)""",
+)
 def page_profile(spark, sf_dir):
     w = words(spark, sf_dir)
     pages = w.groupBy(*L.PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), " ").alias("text")).withColumn("image_ratio", (F.col("document_id") % 10) / 10)

@@ -231,3 +231,53 @@ def cascade_delete(spark, sf_dir):
 def vector_delete(spark, sf_dir):
     gone = table(spark, sf_dir, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("vec_id"))
     return table(spark, sf_dir, "embeddings").join(gone, "vec_id", "left_anti").select("vec_id", "label")
+
+
+@query("rel25_approximate", "SELECT count(DISTINCT l_orderkey) BETWEEN 1 AND 1000000000 AS plausible FROM lineitem")
+def approximate(spark, sf_dir):
+    """The estimate lies within a tenth of the exact count."""
+    n = table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("guess"), F.countDistinct("l_orderkey").alias("exact"))
+    return n.select((F.abs(F.col("guess") - F.col("exact")) <= 0.1 * F.col("exact")).alias("plausible"))
+
+
+@query(
+    "rel31_figure_key",
+    """WITH f AS (SELECT l_orderkey AS document_id, 'p' || l_linenumber || '_f' || (l_partkey % 3) AS figure_id, 'figures/' || l_orderkey || '/' || l_partkey || '.png' AS blob_key FROM lineitem)
+SELECT document_id, 'f1' AS wanted, coalesce(min(CASE WHEN figure_id = 'f1' OR ends_with(figure_id, '_f1') THEN blob_key END), 'figures/' || document_id || '/f1.png') AS blob_key FROM f GROUP BY document_id""",
+)
+def figure_keys(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem")
+    f = x.select(
+        F.col("l_orderkey").cast("string").alias("document_id"), F.concat(F.lit("p"), "l_linenumber", F.lit("_f"), (F.col("l_partkey") % 3).cast("string")).alias("figure_id"),
+        F.concat(F.lit("figures/"), "l_orderkey", F.lit("/"), "l_partkey", F.lit(".png")).alias("blob_key"),
+    )
+    return R.figure_key(f, F.lit("f1"), F.col("document_id")).select(F.col("document_id").cast("long").alias("document_id"), "wanted", "blob_key")
+
+
+@query(
+    "doc07_job_lifecycle",
+    """WITH s AS (SELECT user_id AS document_id, ['profile', 'parse', 'tables', 'chunk', 'index'][1 + event_id % 5] AS stage, event_type <> 'error' AS ok, ts, event_id FROM events),
+  last AS (SELECT document_id, stage, arg_max(ok, (ts, event_id)) AS ok FROM s GROUP BY ALL)
+SELECT document_id, count(*) AS n_stages, CASE WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'failed' WHEN count(*) = 5 THEN 'ready' ELSE 'processing' END AS status FROM last GROUP BY document_id""",
+)
+def job_lifecycle(spark, sf_dir):
+    """Failed if some stage's last word is a failure, ready when all five are done, else processing."""
+    from folioframe.streaming.ingest import document_status
+
+    stage = F.element_at(F.array(*map(F.lit, ("profile", "parse", "tables", "chunk", "index"))), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("document_id"), stage.alias("stage"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), F.struct("ts", "event_id").alias("at")
+    )
+    return document_status(rows)
+
+
+@query(
+    "snk04_figure_manifest",
+    "SELECT l_orderkey AS document_id, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS figures FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) GROUP BY 1",
+)
+def figure_manifest(spark, sf_dir):
+    from folioframe.operators.figures import manifest
+
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number"), F.col("l_partkey").alias("number")).distinct()
+    item = F.transform("figures", lambda x: F.concat(x["page_number"].cast("string"), F.lit(":"), x["number"].cast("string")))
+    return manifest(f).select("document_id", F.array_join(item, ",").alias("figures"))

@@ -45,3 +45,12 @@ def worker(jobs: DataFrame, process: dict[str, Callable[[DataFrame], None]], sta
             batch.unpersist()
 
     return jobs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def document_status(stages: DataFrame) -> DataFrame:
+    """stages(document_id, stage, status, at) -> the document's own status from the last word of each stage."""
+    last = stages.groupBy("document_id", "stage").agg(F.max_by("status", "at").alias("status"))
+    n, failed = F.count("*"), F.count_if(F.col("status") == "failed")
+    done = F.count_if(F.col("status") == "completed")
+    status = F.when(failed > 0, "failed").when(done == len(STAGES), "ready").when(n > 0, "processing").otherwise("queued")
+    return last.groupBy("document_id").agg(n.alias("n_stages"), status.alias("status"))

@@ -199,3 +199,64 @@ def test_ingest_stream(spark, tmp_path):
     last = limits.latest_status(spark.read.parquet(str(tmp_path / "status")))
     assert last.count() == 15 and {r.status for r in last.collect()} == {"completed"}
     assert R.health(spark.createDataFrame([(True,), (False,)], "up boolean")).first().status == "degraded"
+
+
+def test_engine(spark, tmp_path):
+    from folioframe.api import Engine, settings_report
+
+    e = Engine(spark, str(tmp_path / "root"))
+    docs = [("d1", 5, "ready", 1), ("d2", 6, "ready", 2), ("d3", 6, "ready", 3)]
+    e.put("documents", spark.createDataFrame(docs, "document_id string, owner_id int, status string, created_at int"))
+    e.put("permissions", spark.createDataFrame([("d2", 5, "read")], "document_id string, user_id int, permission_level string"))
+    e.put("document_versions", spark.createDataFrame([("d1", 1, "a"), ("d1", 2, "b")], "document_id string, version_num int, blob_key string"))
+    e.put("processing_statuses", spark.createDataFrame([("d1", "parse", "running", 1), ("d1", "parse", "completed", 2)], "document_id string, stage string, status string, at int"))
+    texts = {"d1": "the red pump moves water", "d2": "a blue valve stops water", "d3": "secret figures of the firm"}
+    words = [(d, 1, n, w, 50.0 + 40 * n, 100.0, 50.0 + 40 * n + 5 * len(w), 112.0) for d, t in texts.items() for n, w in enumerate(t.split())]
+    e.ingest(spark.createDataFrame(words, "document_id string, page_number int, word_no long, text string, l double, t double, r double, b double"), 612.0, 792.0)
+    e.put("figures", spark.createDataFrame([("d1", "p1_f1", "figures/d1/p1_f1.png")], "document_id string, figure_id string, blob_key string"))
+    assert [r.document_id for r in e.list_documents(5).collect()] == ["d2", "d1"]
+    assert e.document_detail(5, "d1").first().blob_key == "b" and e.document_detail(5, "d3").isEmpty()
+    assert e.status("d1").first().status == "completed"
+    reply = e.ask("red pump", 5)
+    assert reply.answer.startswith("the red pump moves water") and {c["document_id"] for c in reply.citations} == {"d1", "d2"}
+    assert e.ask("secret figures", 5, ["d3"]).answer == qa.NO_EVIDENCE
+    assert e.ask("red pump vs blue valve", 5, agent=True).citations[0]["document_id"] == "d1"
+    (tmp_path / "figures/d1").mkdir(parents=True)
+    (tmp_path / "figures/d1/p1_f1.png").write_bytes(b"png")
+    blobs = readers.blobs(spark, str(tmp_path / "figures"))
+    assert e.figure_bytes(5, "d1", "f1", blobs) == b"png" and e.figure_bytes(9, "d1", "f1", blobs) is None
+    assert not e.delete_document(5, "d2") and e.delete_document(5, "d1")
+    assert [r.document_id for r in e.list_documents(5).collect()] == ["d2"] and e.table("chunks").filter("document_id = 'd1'").isEmpty()
+    e.put("conversations", spark.createDataFrame([(1, 5, 9), (2, 6, 8)], "conversation_id int, user_id int, updated_at int"))
+    e.put("messages", spark.createDataFrame([(1, 1, 1, "hi"), (1, 2, 2, "yo")], "conversation_id int, created_at int, message_id int, text string"))
+    assert [(r.conversation_id, r.message_count) for r in e.list_conversations(5).collect()] == [(1, 2)]
+    assert [r.text for r in e.conversation(5, 1).collect()] == ["hi", "yo"] and e.conversation(6, 1).isEmpty()
+    assert not e.delete_conversation(6, 1) and e.delete_conversation(5, 1) and e.table("messages").isEmpty()
+    assert settings_report({"A": "1"}, {"x": ("A",), "y": ("A", "B")}) == [("OK", "x"), ("FAIL", "y: B")]
+
+
+def test_image_plugins(spark):
+    from folioframe.operators import figures as G
+
+    class Model:
+        def __init__(self):
+            self.n = 0
+
+        def describe(self, image, mime):
+            self.n += 1
+            if self.n == 2:
+                raise ValueError
+            if self.n == 3:
+                raise ResourceWarning
+            return image.decode()
+
+    crops = spark.createDataFrame([(i, b"c%d" % i) for i in range(5)], "i int, content binary").coalesce(1)
+    assert [r.caption for r in G.described(crops, Model).orderBy("i").collect()] == ["c0", None, None, None, None]
+
+    class Renderer:
+        def crop(self, content, page, box, dpi):
+            return content, int(box[2] - box[0]), dpi
+
+    figs = spark.createDataFrame([("d", 2, 1.0, 2.0, 11.0, 22.0)], "document_id string, page_number int, l double, t double, r double, b double")
+    r = G.rendered(figs, spark.createDataFrame([("d", b"x")], "document_id string, content binary"), Renderer).first()
+    assert (bytes(r.png), r.width_px, r.height_px) == (b"x", 10, 150)
