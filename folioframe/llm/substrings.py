@@ -113,7 +113,8 @@ def _anchor_blobs(texts: DataFrame, mergers: int) -> DataFrame:
             if not keys:
                 continue
             docs, where, hashes = np.concatenate(docs), np.concatenate(where), np.concatenate(hashes)
-            r = ((hashes >> np.uint64(32)) * np.uint64(mergers)) >> np.uint64(32)
+            with np.errstate(over="ignore"):  # anchors have low hashes, so they are dealt by another one
+                r = ((mix(hashes + GOLD) >> np.uint64(32)) * np.uint64(mergers)) >> np.uint64(32)
             order = np.argsort(r, kind="stable")
             met, starts = np.unique(r[order], return_index=True)
             rs, blobs = met.astype(np.int32), []
