@@ -106,6 +106,7 @@ def key_value(c: Column) -> Column:
     return F.when((attribute != "") & (value != ""), F.struct(attribute.alias("attribute"), value.alias("value")))
 
 
+# A pair of units, and hours.
 UNIT_PAIR = r"(?i)([\d.\s\-]+(?:lbs|gal|gpm|hp|sqft/hr))\s*\(([\d.\s\-]+(?:kg|liters|lpm|watts|sqm))\)"
 HOURS = r"(?i)([\d.]+)\s*hours"
 
@@ -119,6 +120,7 @@ def unit_variants(c: Column) -> Column:
     return F.struct(imperial.alias("imperial"), metric.alias("metric"), hours.alias("hours"), minutes.alias("minutes"))
 
 
+# Characters that open a footnote.
 MARKS = r"\*\s\"'“”"
 
 
@@ -153,6 +155,7 @@ def figure_tokens(c: Column) -> Column:
     return F.array_except(F.array_distinct(every), F.array(*map(F.lit, FIGURE_STOP_WORDS)))
 
 
+# A citation tag.
 CITATION = r"(?i)[\[【]Doc:\s*([^,]+?),\s*Page:?\s*(\d+)[\]】]"
 
 
@@ -186,6 +189,7 @@ def query_plan(c: Column) -> Column:
     return F.struct(plan.alias("plan"), subs.alias("sub_queries"))
 
 
+# Bullets around a line.
 BULLETS = r"[\s•●⁃·\x{95}\-*]+"
 
 

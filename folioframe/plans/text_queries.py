@@ -268,7 +268,7 @@ def numeric_tokens(spark, sf_dir):
     return docs.select("id", F.explode(T.numeric_tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
 
 
-FILTERED = (r"subject to change without notice.*", r"\*images could include non-standard options.*", r"(www\.)?example\.com")
+FILTERED = (r"all rights reserved.*", r"(www\.)?example\.com")
 
 
 @query(
