@@ -59,6 +59,7 @@ class Engine:
         for name, (df, _) in fresh.items():
             old = self.table(name).join(ids, "document_id", "left_anti") if self.has(name) else None
             self.put(name, df if old is None else old.unionByName(df))
+        D.release(out)
 
     def authorised(self, user: int | str, admin: bool = False, requested: list | None = None) -> DataFrame:
         docs = self.table("documents")

@@ -121,23 +121,29 @@ def page_profile(pages: DataFrame, blocks: DataFrame, width: float, height: floa
 def process(words: DataFrame, width: float, height: float, table_words: int = 300) -> dict[str, DataFrame]:
     """The document pipeline as one lazy plan: lines, templates, clean words, tables, blocks, chunks.
 
-    Tables are looked for on pages of more than ``table_words`` words.
+    Tables are looked for on pages of more than ``table_words`` words. Lines, clean words and blocks
+    feed several outputs and are persisted (spilling to disk); ``release`` frees them.
     """
-    rows = L.lines(words, 35.0, 6.0)
+    rows = L.lines(words, 35.0, 6.0).persist()
     templates = learn_boilerplate(rows, height)
     marked = mark_boilerplate(rows, templates, height)
     gone = marked.filter("stripped").select(*PAGE, *(F.col(c).alias(f"_{c}") for c in "ltrb"))
     boxes = gone.groupBy(*PAGE).agg(F.collect_list(F.struct("_l", "_t", "_r", "_b")).alias("_gone"))
     hit = F.exists(F.coalesce("_gone", F.array().cast("array<struct<_l:double,_t:double,_r:double,_b:double>>")), lambda g: (F.col("l") >= g["_l"]) & (F.col("r") <= g["_r"]) & (F.col("t") >= g["_t"]) & (F.col("b") <= g["_b"]))
-    clean = words.join(boxes, PAGE, "left").filter(~hit).drop("_gone")
+    clean = words.join(boxes, PAGE, "left").filter(~hit).drop("_gone").persist()
     full = Window.partitionBy(*PAGE)
     dense = clean.withColumn("_n", F.count("*").over(full)).filter(F.col("_n") > table_words).drop("_n")
     zones = L.table_zones(dense, width, height)
     zone_rows = L.table_rows(L.zone_pages(L.zoned(dense, width, height)))
     found = L.table_records(zone_rows)
     records = found.select(F.col("document_id.document_id").alias("document_id"), F.col("document_id.page_number").alias("page_number"), F.col("page_number").alias("zone_id"), *[c for c in found.columns if c not in PAGE])
-    blocks = L.reading_order(clean, width, height)
+    blocks = L.reading_order(clean, width, height).persist()
     text = chunk_text(blocks)
     tables = chunk_tables(zones, records, text)
     chunks = text.select(*PAGE, "chunk_id", "section_path", "text", "tokens", F.lit("text").alias("chunk_type")).unionByName(tables.select(*PAGE, "chunk_id", "section_path", "text", "tokens", F.lit("table").alias("chunk_type")))
-    return {"templates": templates, "marked": marked, "zones": zones, "records": records, "blocks": blocks, "chunks": chunks}
+    return {"templates": templates, "marked": marked, "zones": zones, "records": records, "blocks": blocks, "chunks": chunks, "clean": clean, "rows": rows}
+
+
+def release(processed: dict[str, DataFrame]) -> None:
+    for name in ("rows", "clean", "blocks"):
+        processed[name].unpersist()

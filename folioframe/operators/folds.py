@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -14,23 +14,21 @@ from pyspark.sql.types import LongType, StructField, StructType
 def running_fold(df: DataFrame, keys: list[str], order: list, inputs: list[str], start: Callable[[], Any], step: Callable[..., int], out: str) -> DataFrame:
     """Adds the long column ``out``: ``step(state, *inputs)`` for every row of a key in ``order``.
 
-    Rows of a key meet in one task by the shuffle on the key, but stream through it: only the state of
-    the current key is held, so a key may be larger than memory.
+    A window's numbering brings the rows of a key together, in order, without a shuffle where they are
+    partitioned by the key already. They stream through the task: only the state of the current key is
+    held, so a key may be larger than memory.
     """
-    packed = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[o.alias(f"_o{i}") if not isinstance(o, str) else F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.struct("*").alias("row"))
-    by = [f"_k{i}" for i in range(len(keys))]
-    placed = packed.repartition(*by).sortWithinPartitions(*by, *[f"_o{i}" for i in range(len(order))]).select(*by, "row")
-    n = len(keys)
+    by = [F.col(k) if isinstance(k, str) else k for k in keys]
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))  # also partitions and sorts the rows
+    placed = df.withColumn("_nth", nth).select("_nth", F.struct(*(F.col(c) for c in df.columns)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = object(), None
+        state = None
         for batch in batches:
-            row = batch.column(n)
-            marks = list(zip(*(batch.column(i).to_pylist() for i in range(n))))
-            values = []
-            for mark, args in zip(marks, zip(*(row.field(c).to_pylist() for c in inputs))):
-                if mark != key:
-                    key, state = mark, start()
+            row, values = batch.column(1), []
+            for nth, *args in zip(batch.column(0).to_pylist(), *(row.field(c).to_pylist() for c in inputs)):
+                if nth == 1:
+                    state = start()
                 values.append(step(state, *args))
             yield pa.RecordBatch.from_arrays([row, pa.array(values, pa.int64())], names=["row", out])
 

@@ -65,7 +65,7 @@ def lines(words: DataFrame, max_gap: float | None = None, tolerance: float = 5.0
         w = w.withColumn("_most", LINE_GAP * F.coalesce(F.percentile(F.when(h > 2, h), 0.5).over(page), F.lit(10.0)))
     else:
         w = w.withColumn("_most", F.lit(float(max_gap)))
-    w = bucketed(w, tolerance)
+    w = bucketed(w, tolerance).repartition(*PAGE)  # serves the windows and the aggregate below
     across = Window.partitionBy(*PAGE, "bucket").orderBy("l", "t", "word_no")
     gap = F.col("l") - F.lag("r").over(across)
     w = w.withColumn("_new", F.when((gap >= 0) & (gap <= F.col("_most")), 0).otherwise(1))

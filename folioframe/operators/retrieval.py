@@ -131,7 +131,11 @@ def rrf(ranked: DataFrame, keys: tuple[str, ...] = (), k: int = RRF_K) -> DataFr
 
 
 def hybrid(pool: DataFrame, query: DataFrame, top_n: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Fuses the dense order of a (small) pool with its lexical order; pool has ``dense_rank``."""
+    """Fuses the dense order of a (small) pool with its lexical order; pool has ``dense_rank``.
+
+    The pool, a few rows a query, is kept so that the scan behind it runs once.
+    """
+    pool = pool.persist()
     scored = bm25_tf(pool, query, keys)
     order = Window.partitionBy(*keys).orderBy(F.desc("keyword_score"), "dense_rank")
     lists = scored.withColumn("keyword_rank", F.row_number().over(order))
@@ -141,7 +145,7 @@ def hybrid(pool: DataFrame, query: DataFrame, top_n: int, keys: tuple[str, ...]
 
 def retrieve(chunks: DataFrame, vector: DataFrame, query: DataFrame, ids: DataFrame, pool: int = 20, top_k: int = 6) -> DataFrame:
     """The flagship: access -> dense pool -> lexical rank -> fusion -> the first ``top_k``."""
-    dense = dense_top_k(chunks, vector, pool, ids=ids)
+    dense = dense_top_k(chunks, vector, pool, ids=ids).persist()
     fused = hybrid(dense, query, max(top_k, 10))
     rows = dense.select("chunk_id", "document_id")
     return fused.filter(F.col("rank") <= top_k).join(rows, "chunk_id")
