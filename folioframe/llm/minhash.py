@@ -11,7 +11,7 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.graph import UnionFind, components
@@ -140,8 +140,9 @@ def _verified(members: DataFrame, width: int, per_cent: int) -> DataFrame:
         order = sorted(range(len(ids)), key=lambda k: (halves[k], ids[k]))
         ids, sets = [ids[k] for k in order], [sets[k] for k in order]
         split = sum(1 for k in halves if k == 0) if any(halves) else 0
+        alone = len(ids) < 2 or (any(halves) and split in (0, len(ids)))
         groups, links = UnionFind(), []
-        for a, b in linked_pairs(sets, split, per_cent) if len(ids) > 1 else []:
+        for a, b in [] if alone else linked_pairs(sets, split, per_cent):
             if ids[a] != ids[b] and groups.union(ids[a], ids[b]):
                 links.append((ids[a], ids[b]))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
@@ -149,6 +150,33 @@ def _verified(members: DataFrame, width: int, per_cent: int) -> DataFrame:
     return members.groupBy("cluster", "i", "j").applyInArrow(check, "a long, b long")
 
 
+def _block(n) -> Column:
+    return F.pmod(F.xxhash64("id"), n.cast("int")).cast("int")
+
+
+def _across(members: DataFrame, groups: DataFrame, block: int) -> DataFrame:
+    """Block pairs of large clusters for what links within blocks have left apart.
+
+    The members outside a cluster's largest group meet each other and that group, block by block; members
+    of the largest group, which may be nearly all, do not meet each other again.
+    """
+    known = groups.select("id", F.col("component").alias("g"))
+    m = save(members.select("cluster", "id").join(known, "id", "left").withColumn("g", F.coalesce("g", "id")), "grouped")
+    each = m.groupBy("cluster", "g").agg(F.count("*").alias("n"))
+    main = save(each.groupBy("cluster").agg(F.max_by("g", F.struct("n", -F.col("g"))).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")), "main")
+    m = m.join(main.filter("n_all > n_main"), "cluster")
+    rest, full = F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int"), F.ceil(F.col("n_main") / block).cast("int")
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    inside = m.filter("g = main").withColumn("at", _block(full))
+    outside = m.filter("g <> main").withColumn("at", _block(rest))
+    pair = lambda i, j, half: F.struct(i.alias("i"), j.alias("j"), half.cast("int").alias("half"))
+    with_rest = F.transform(up_to(rest), lambda b: pair(F.least("at", b), F.greatest(F.col("at"), b), F.col("at") > b))
+    with_main = F.transform(up_to(full), lambda b: pair(F.col("at"), rest + b, F.lit(0)))
+    from_main = F.transform(up_to(rest), lambda a: pair(a, rest + F.col("at"), F.lit(1)))
+    placed = outside.select("cluster", "id", F.explode(F.concat(with_rest, with_main)).alias("p")).unionByName(inside.select("cluster", "id", F.explode(from_main).alias("p")))
+    return placed.select("cluster", "id", "p.i", "p.j", "p.half")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, block: int = BLOCK) -> DataFrame:
     """Adds to every row's ``doc_id`` its ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -156,8 +184,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, block:
        least ``doc_id`` stands for it (a combining aggregate, whatever the size of the class).
     2. Classes that share a band key meet at the key's least member: one candidate edge per class and
        band, never all pairs. Components of these edges are the candidate clusters.
-    3. Within a cluster all representatives are compared exactly on their full sets, in blocks of
-       ``block``; only a spanning forest of the confirmed links leaves a task.
+    3. The representatives of a cluster are compared exactly on their full sets, in blocks of ``block``;
+       only a spanning forest of the confirmed links leaves a task. What a large cluster's blocks leave
+       outside its largest group then meets the other blocks, so a cluster that is one group, however
+       large, costs in proportion to its size, and no link is lost.
     4. Components of the confirmed links give the groups; the least ``doc_id`` of a group stays.
 
     ``n_shingles`` counts distinct 64-bit hashes.
@@ -169,22 +199,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, block:
     slots = classes.select("rep", F.explode("keys").alias("key"))
     hubs = slots.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     clusters = save(components(slots.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "clusters")
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    mine = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-    placed = clusters.join(blocks, "component").withColumn("mine", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    placed = placed.select("component", "id", "mine", other.alias("other"))
-    members = placed.select(
-        F.col("component").alias("cluster"), "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        (F.col("mine") > F.col("other")).cast("int").alias("half"),
-    ).join(classes.select(F.col("rep").alias("id"), "print"), "id")
+    marks = classes.select(F.col("rep").alias("id"), "print")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = members.join(texts, F.col("id") == F.col("doc_id")).select("cluster", "i", "j", "half", "doc_id", "print", "text")
-    links = save(_verified(members, width, per_cent), "confirmed")
+
+    def verify(placed: DataFrame) -> DataFrame:
+        members = placed.join(marks, "id").join(texts, F.col("id") == F.col("doc_id")).select("cluster", "i", "j", "half", "doc_id", "print", "text")
+        return save(_verified(members, width, per_cent), "confirmed")
+
+    sizes = save(clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n")), "sizes")
+    sized = clusters.select(F.col("component").alias("cluster"), "id").join(sizes, "cluster")
+    at = _block(F.ceil(F.col("n") / block))
+    links = verify(sized.select("cluster", "id", at.alias("i"), at.alias("j"), F.lit(0).alias("half")))
+    if not sizes.filter(F.col("n") > block).isEmpty():
+        across = verify(save(_across(sized.filter(F.col("n") > block), components(links), block), "across"))
+        links = links.unionByName(across)
     groups = save(components(links), "groups").select(F.col("id").alias("rep"), "component")
     named = classes.select("print", "rep").join(groups, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     named = save(named, "named")
-    drop(links, clusters, classes)
+    drop(clusters, classes)
     known = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
     return known.join(named, "print", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
