@@ -201,10 +201,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, block:
     clusters = save(components(slots.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "clusters")
     marks = classes.select(F.col("rep").alias("id"), "print")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    members = clusters.select("id").join(marks, "id").join(texts, F.col("id") == F.col("doc_id"))
+    members = save(members.select("doc_id", "print", "text"), "members")  # all texts are shuffled this once
 
     def verify(placed: DataFrame) -> DataFrame:
-        members = placed.join(marks, "id").join(texts, F.col("id") == F.col("doc_id")).select("cluster", "i", "j", "half", "doc_id", "print", "text")
-        return save(_verified(members, width, per_cent), "confirmed")
+        texts_of = placed.join(members, F.col("id") == F.col("doc_id")).select("cluster", "i", "j", "half", "doc_id", "print", "text")
+        return save(_verified(texts_of, width, per_cent), "confirmed")
 
     sizes = save(clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n")), "sizes")
     sized = clusters.select(F.col("component").alias("cluster"), "id").join(sizes, "cluster")
@@ -216,7 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, block:
     groups = save(components(links), "groups").select(F.col("id").alias("rep"), "component")
     named = classes.select("print", "rep").join(groups, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     named = save(named, "named")
-    drop(clusters, classes)
+    drop(clusters, classes, members)
     known = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
     return known.join(named, "print", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
