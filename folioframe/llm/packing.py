@@ -229,8 +229,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
     Texts are read once and never shuffled; what is shuffled are pieces of some 40 bytes, by cell.
     """
-    got = save(pieces(docs, vocabulary or default_vocabulary(), capacity), "pieces")
-    number = F.monotonically_increasing_id()
+    numbered = pieces(docs, vocabulary or default_vocabulary(), capacity).withColumn("number", F.monotonically_increasing_id())
+    got, number = save(numbered, "pieces"), F.col("number")  # stored, so that every later reader sees the same numbers
     full = got.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - number).withColumn("offset", F.lit(0).cast("long"))
     rest = got.filter(F.col("length") < capacity)
     cells = max(1, -(-rest.count() // CELL))
