@@ -229,4 +229,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, block:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, all columns unchanged."""
     gone = near_duplicates(docs, width, per_cent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

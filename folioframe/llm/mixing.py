@@ -78,6 +78,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns of ``docs``."""
-    names = docs.columns
+    packed = docs.select(F.struct("*").alias("mix_row"), "doc_id", "source", "text")
     each = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
-    return mixed(docs).filter("mix_copies > 0").withColumn("mix_copy", each).select(*names)
+    return mixed(packed).filter("mix_copies > 0").withColumn("mix_copy", each).select("mix_row.*")

@@ -33,7 +33,7 @@ def odd(spark):
 
 @pytest.fixture(scope="module")
 def odd_clashing(odd):
-    return odd.withColumns({"row": F.lit(1), "key": F.lit("k"), "size": F.lit("x"), "kept": F.lit(None).cast("string"), "shard": F.lit(3), "rank": F.lit(0)})
+    return odd.withColumns({"row": F.lit(1), "key": F.lit("k"), "size": F.lit("x"), "kept": F.lit(None).cast("string"), "shard": F.lit(3), "rank": F.lit(0), "mix_size": F.lit(9), "mix_row": F.lit(1), "_gone": F.lit(1), "_id": F.lit(2), "doc": F.lit(3), "print": F.lit("p")})
 
 
 @pytest.fixture(scope="module")
