@@ -74,3 +74,17 @@ def upsert(target: DataFrame, fresh: DataFrame, key: str, version: str) -> DataF
     """Idempotent: one row per key, the one with the highest version; reruns change nothing."""
     order = Window.partitionBy(key).orderBy(F.desc(version))
     return target.unionByName(fresh).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
+    """Each left row with ``values`` of the last right row of its key at or before its time.
+
+    One union, one shuffle on the key and a carry-forward window; no pairs are made.
+    """
+    value = F.to_json(F.struct(*values))
+    schema = right.select(*values).schema
+    r = right.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(0).alias("_side"), value.alias("_value"), F.lit(None).cast(left.schema).alias("_row"))
+    x = left.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_value"), F.struct(*left.columns).alias("_row"))
+    order = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = r.unionByName(x).withColumn("_value", F.last("_value", True).over(order)).filter("_side = 1")
+    return carried.select("_row.*", F.from_json("_value", schema).alias("_v")).select("*", *(F.col(f"_v.{v}").alias(v) for v in values)).drop("_v")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as T
 from folioframe.operators import evaluation as E
 from folioframe.plans.registry import query, table
-from folioframe.plans.text_queries import SAMPLE_ROWS, normalised, samples
+from folioframe.plans.text_queries import SAMPLE_ROWS, collapse, normalised, samples
 
 
 def pairs(spark, sf_dir):
@@ -25,18 +25,41 @@ PAIRS = f"""{SAMPLE_ROWS}, pairs AS (SELECT item_id AS id, b.text AS truth, d.te
 COUNTS = f"na AS (SELECT id, token, count(*) AS na FROM {normalised('tr')} GROUP BY ALL), nb AS (SELECT id, token, count(*) AS nb FROM {normalised('fo')} GROUP BY ALL)"
 
 
-@query("evl01_aligned_cer")
+def ascii_pairs(spark, sf_dir):
+    """The pairs with one mark for every other character: the other engine's Levenshtein counts bytes."""
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?").alias(c)
+    return pairs(spark, sf_dir).select("id", plain("truth"), plain("found"))
+
+
+ASCII = r"plain AS (SELECT id, regexp_replace(truth, '[^\x00-\x7F]', '?', 'g') AS truth, regexp_replace(found, '[^\x00-\x7F]', '?', 'g') AS found FROM pairs)"
+CLEAN = collapse(r"regexp_replace(regexp_replace(line, '^[\s•●⁃·\x{95}\-*]+', ''), '[\s•●⁃·\x{95}\-*]+$', '')")
+
+
+@query(
+    "evl01_aligned_cer",
+    f"""WITH {PAIRS}, {ASCII}, a AS (SELECT id, no, {CLEAN} AS line FROM (SELECT id, generate_subscripts(p, 1) AS no, unnest(p) AS line FROM (SELECT id, string_split(truth, chr(10)) AS p FROM plain))),
+  b AS (SELECT id, lower({CLEAN}) AS line FROM (SELECT id, unnest(string_split(found, chr(10))) AS line FROM plain)),
+  d AS (SELECT a.id, a.no, length(a.line) AS n, min(levenshtein(lower(a.line), b.line)) AS d FROM a LEFT JOIN (SELECT DISTINCT * FROM b WHERE length(line) > 3) b ON a.id = b.id AND abs(length(a.line) - length(b.line)) < length(a.line) WHERE length(a.line) > 3 GROUP BY a.id, a.no, a.line)
+SELECT id, CAST(sum(least(n, coalesce(d, n))) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS chars, round(CAST(sum(least(n, coalesce(d, n))) AS DOUBLE) / sum(n), 6) AS cer FROM d GROUP BY id""",
+)
 def aligned_cer(spark, sf_dir):
-    """No SQL: the other engine's Levenshtein counts bytes."""
-    return E.aligned_cer(pairs(spark, sf_dir), "id")
+    return E.aligned_cer(ascii_pairs(spark, sf_dir), "id")
 
 
-@query("fn30_cer")
+@query(
+    "fn30_cer",
+    f"""WITH {PAIRS}, {ASCII} SELECT id, round(CASE WHEN length(truth) = 0 THEN CASE WHEN length(found) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(levenshtein(truth, found) AS DOUBLE) / length(truth) END, 6) AS cer FROM plain""",
+)
 def cer(spark, sf_dir):
-    p = pairs(spark, sf_dir)
+    p = ascii_pairs(spark, sf_dir)
     return p.select("id", F.round(T.cer(F.col("truth"), F.col("found")), 6).alias("cer"))
 
 
+@query("fn29_levenshtein", "SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part")
+def levenshtein(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distance"))
+
+
 F1 = f"""WITH {PAIRS}, {COUNTS}, s AS (SELECT id, sum(coalesce(na, 0)) AS na, sum(coalesce(nb, 0)) AS nb, sum(least(coalesce(na, 0), coalesce(nb, 0))) AS m FROM na FULL JOIN nb USING (id, token) GROUP BY id),
   t AS (SELECT id, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, coalesce(m, 0) AS m FROM pairs LEFT JOIN s USING (id))
 SELECT id, round(CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 ELSE CAST(m AS DOUBLE) / nb END, 6) AS precision,

@@ -461,3 +461,35 @@ def page_profile(spark, sf_dir):
     w = words(spark, sf_dir)
     pages = w.groupBy(*L.PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), " ").alias("text")).withColumn("image_ratio", (F.col("document_id") % 10) / 10)
     return D.page_profile(pages, L.lines(w), W, H)
+
+
+@query("fn01_box_derivations", f"WITH {RECTS} SELECT page_number, figure_no, greatest(0.0, r - l) AS width, greatest(0.0, b - t) AS height, (l + r) / 2 AS mid_x, (t + b) / 2 AS mid_y FROM rects")
+def box_derivations(spark, sf_dir):
+    return L.derived(rects(spark, sf_dir)).select("page_number", "figure_no", "width", "height", "mid_x", "mid_y")
+
+
+@query(
+    "fn02_coord_flip",
+    f"""WITH {RECTS} SELECT page_number, figure_no, CASE WHEN figure_no % 2 = 0 THEN round(792 - greatest(t, b), 2) ELSE t END AS t, CASE WHEN figure_no % 2 = 0 THEN round(792 - least(t, b), 2) ELSE b END AS b FROM rects""",
+)
+def coord_flip(spark, sf_dir):
+    x = rects(spark, sf_dir).withColumn("coord_origin", F.when(F.col("figure_no") % 2 == 0, "CoordOrigin.BOTTOMLEFT").otherwise("TOPLEFT"))
+    return L.flipped(x, F.lit(792.0)).select("page_number", "figure_no", "t", "b")
+
+
+@query(
+    "fn15_low_confidence",
+    f"""WITH {WORDS}, w AS (SELECT document_id, page_number, row, (60 + word_no % 41) / 100.0 AS c FROM words),
+  g AS (SELECT document_id, page_number, row, avg(c) AS mean, min(c) AS least FROM w GROUP BY ALL)
+SELECT document_id, page_number, count(*) AS n, count(*) FILTER (WHERE round(mean, 9) < 0.75 OR least < 0.60) AS low FROM g GROUP BY ALL""",
+)
+def low_confidence(spark, sf_dir):
+    w = words(spark, sf_dir).withColumn("confidence", (60 + F.col("word_no") % 41) / 100)
+    rows_ = L.table_rows(w)
+    return rows_.groupBy(*L.PAGE).agg(F.count("*").alias("n"), F.count_if((F.round("mean_confidence", 9) < 0.75) | (F.col("least") < 0.60)).alias("low"))
+
+
+@query("fn36_ocr_fallback", "SELECT p_brand, count(*) FILTER (WHERE p_size > 45) < 2 AS needed FROM part GROUP BY p_brand")
+def ocr_fallback(spark, sf_dir):
+    found = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(F.col("p_size") > 45).alias("n"))
+    return found.select("p_brand", L.needs_fallback(F.col("n")).alias("needed"))

@@ -281,3 +281,47 @@ def figure_manifest(spark, sf_dir):
     f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number"), F.col("l_partkey").alias("number")).distinct()
     item = F.transform("figures", lambda x: F.concat(x["page_number"].cast("string"), F.lit(":"), x["number"].cast("string")))
     return manifest(f).select("document_id", F.array_join(item, ",").alias("figures"))
+
+
+@query(
+    "rel07_range_join",
+    """SELECT a.l_orderkey AS page, a.l_linenumber AS line, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_quantity BETWEEN a.l_quantity - 10 AND a.l_quantity + 10
+  AND a.l_linenumber < b.l_linenumber GROUP BY ALL""",
+)
+def range_join(spark, sf_dir):
+    """Always with the page as an equality key, so that it is a hash join with a residual range."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("q"))
+    b = x.select("page", F.col("line").alias("other"), F.col("q").alias("q2"))
+    return x.join(b, "page").filter("q2 between q - 10 and q + 10 and line < other").groupBy("page", "line").agg(F.count("*").alias("n"))
+
+
+@query("rel11_cross_join", "SELECT n_name, min(levenshtein(n_name, r_name)) AS nearest FROM nation CROSS JOIN region GROUP BY n_name")
+def cross_join(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").crossJoin(F.broadcast(table(spark, sf_dir, "region")))
+    return n.groupBy("n_name").agg(F.min(F.levenshtein("n_name", "r_name")).cast("long").alias("nearest"))
+
+
+@query(
+    "rel12_asof_join",
+    """WITH v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT p.event_id, p.user_id, v.view_id FROM events p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts WHERE p.event_type = 'purchase'""",
+)
+def asof(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    views = e.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view_id"))
+    bought = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return R.asof_join(bought, views, "user_id", "ts", ["view_id"]).select("event_id", "user_id", "view_id")
+
+
+@query(
+    "rel24_windows",
+    """SELECT o_orderkey, rank() OVER w AS rank, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS running, lag(o_orderkey) OVER w AS before
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+)
+def windows(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.rank().over(w).cast("long").alias("rank"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("running"), F.lag("o_orderkey").over(w).alias("before")
+    )
