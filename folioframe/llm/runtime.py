@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -51,10 +53,17 @@ def save(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
     The files survive the loss of any executor. They go when ``drop`` is called or the driver ends.
+    The shuffle files behind them are removed as soon as they are written; left to the collection of the
+    driver's garbage, those of several steps would pile up on the executors' disks.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/folioframe-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._folioframe_path = path
