@@ -39,8 +39,13 @@ HEADING_PREFIX = f"(?i)^((choose your|section|chapter|view inside){END}|part \\d
 
 
 def strip(c: Column) -> Column:
-    """Trim all white space, not only spaces."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim all six ASCII white space characters, not only spaces."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def once(c: Column, then) -> Column:
+    """``then(c)`` with ``c`` computed a single time, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
 
 
 def collapse(c: Column) -> Column:
@@ -49,14 +54,18 @@ def collapse(c: Column) -> Column:
 
 def text_quality(c: Column) -> Column:
     """0.7 * share of clean characters + 0.3 * sanity of the mean word length; 0 for blank text."""
-    t = strip(F.coalesce(c, F.lit("")))
-    n = F.length(t).cast("double")
-    clean = F.length(F.regexp_replace(t, rf"[^\x09-\x0D\x20-\x7E{CLEAN_CHARS}]", "")) / n
-    mean = F.length(F.regexp_replace(t, r"\s+", "")) / F.size(F.split(t, r"\s+")).cast("double")
-    sane = (
-        F.when(mean < 2, mean / 2).when(mean <= 15, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (mean - 15) / 15))
-    )
-    return F.when(F.length(t) == 0, F.lit(0.0)).otherwise(F.round(clean * 0.7 + sane * 0.3, 4))
+    def share(x: Column) -> Column:
+        mean = x["letters"] / x["words"]
+        sane = F.when(mean < 2, mean / 2).when(mean <= 15, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (mean - 15) / 15))
+        return F.when(x["n"] == 0, F.lit(0.0)).otherwise(F.round(x["clean"] / x["n"] * 0.7 + sane * 0.3, 4))
+
+    def counts(t: Column) -> Column:
+        return F.struct(
+            F.length(t).cast("double").alias("n"), F.length(F.regexp_replace(t, rf"[^\x09-\x0D\x20-\x7E{CLEAN_CHARS}]", "")).alias("clean"),
+            F.length(F.regexp_replace(t, r"\s+", "")).alias("letters"), F.size(F.split(t, r"\s+")).cast("double").alias("words"),
+        )
+
+    return once(once(strip(F.coalesce(c, F.lit(""))), counts), share)
 
 
 def char_count(c: Column) -> Column:
