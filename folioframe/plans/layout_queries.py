@@ -98,7 +98,7 @@ def rects(spark, sf_dir):
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     left, top = F.col("l_quantity") * 12, (F.col("l_linenumber") * 90).cast("double")
     return x.select(
-        (F.col("l_orderkey") % 100).alias("document_id"), F.col("l_orderkey").alias("page_number"), nth.alias("figure_no"), left.alias("l"), top.alias("t"),
+        (F.col("l_orderkey") % 100).alias("document_id"), F.col("l_orderkey").alias("page_number"), nth.cast("long").alias("figure_no"), left.alias("l"), top.alias("t"),
         (left + F.col("l_partkey") % 300).alias("r"), (top + F.col("l_suppkey") % 200).alias("b"), F.col("l_quantity").cast("int").alias("words"), (F.col("l_partkey") % 12).cast("int").alias("drawings"),
         (200 + F.col("l_partkey") % 400).cast("int").alias("px"),
     )
