@@ -152,12 +152,15 @@ def retrieve(chunks: DataFrame, vector: DataFrame, query: DataFrame, ids: DataFr
 
 
 def true_bm25(chunks: DataFrame, query: DataFrame) -> DataFrame:
-    """BM25 over the whole corpus with document frequencies; only query tokens are shuffled."""
+    """BM25 over the whole corpus with document frequencies; only query tokens are shuffled.
+
+    Their counts feed both the frequencies and the scores and are persisted, so texts are read for them once.
+    """
     asked = F.broadcast(query.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("token")))
     sized = chunks.select("chunk_id", T.tokens(F.col("text")).alias("tokens"))
     total = sized.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
     wanted = asked.select("token").distinct()
-    tf = sized.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).join(F.broadcast(wanted), "token").groupBy("chunk_id", "len", "token").agg(F.count("*").alias("tf"))
+    tf = sized.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).join(F.broadcast(wanted), "token").groupBy("chunk_id", "len", "token").agg(F.count("*").alias("tf")).persist()
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(total)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     hits = tf.join(idf, "token").join(asked, "token")
