@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.operators.layout import PAGE
+from folioframe.shipping import ship
 
 
 def triage(l: Column, t: Column, r: Column, b: Column, width: float, height: float, px_w: Column, px_h: Column, drawings: Column, words: Column) -> Column:  # noqa: E741
@@ -112,6 +113,7 @@ def described(crops: DataFrame, make, column: str = "content", mime: str = "imag
     import pyarrow as pa
     from pyspark.sql.types import StringType, StructField, StructType
 
+    ship(crops.sparkSession)
     whole = StructType([StructField("row", crops.schema), StructField("caption", StringType())])
 
     def run(batches):
@@ -142,6 +144,7 @@ def rendered(figures: DataFrame, files: DataFrame, make, dpi: int = 150) -> Data
     from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
     whole = StructType([StructField("row", figures.schema), StructField("png", BinaryType()), StructField("width_px", IntegerType()), StructField("height_px", IntegerType())])
+    ship(figures.sparkSession)
     both = figures.select("document_id", F.struct("*").alias("row")).join(files.select("document_id", "content"), "document_id").select("row", "content")
 
     def run(batches):

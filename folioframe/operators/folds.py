@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from folioframe.shipping import ship
+
 
 def running_fold(df: DataFrame, keys: list[str], order: list, inputs: list[str], start: Callable[[], Any], step: Callable[..., int], out: str) -> DataFrame:
     """Adds the long column ``out``: ``step(state, *inputs)`` for every row of a key in ``order``.
@@ -18,6 +20,7 @@ def running_fold(df: DataFrame, keys: list[str], order: list, inputs: list[str],
     partitioned by the key already. They stream through the task: only the state of the current key is
     held, so a key may be larger than memory.
     """
+    ship(df.sparkSession)
     by = [F.col(k) if isinstance(k, str) else k for k in keys]
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))  # also partitions and sorts the rows
     placed = df.withColumn("_nth", nth).select("_nth", F.struct(*(F.col(c) for c in df.columns)).alias("row"))

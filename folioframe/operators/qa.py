@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
 from folioframe.operators import retrieval as R
+from folioframe.shipping import ship
 
 NO_EVIDENCE = "Insufficient evidence in authorized documents to answer this question."
 DIMENSION = 64
@@ -74,6 +75,7 @@ def embed_texts(df: DataFrame, column: str, make: Callable[[], Embedder] = Hashi
     """Adds ``embedding``; the model is made once for each task and called with small batches."""
     from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+    ship(df.sparkSession)
     whole = StructType([StructField("row", df.schema), StructField("embedding", ArrayType(FloatType()))])
 
     def run(batches):
@@ -98,6 +100,8 @@ def rerank(candidates: DataFrame, top_n: int, make: Callable[[], Scorer] | None
     if make is None:
         order = Window.partitionBy(*keys).orderBy("rank", "chunk_id")
     else:
+        ship(candidates.sparkSession)
+
         def run(batches):
             model = make()
             for b in batches:

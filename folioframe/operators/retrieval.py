@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
+from folioframe.shipping import ship
 
 RRF_K = 60
 K1, B = 1.5, 0.75
@@ -85,6 +86,8 @@ def _nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame
     import numpy as np
     import pyarrow as pa
 
+    ship(chunks.sparkSession)
+
     def unit(v: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(v, axis=1, keepdims=True)
         return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.shipping import ship
+
 WORD_PAGE = "page_width double, page_height double, unit string, coord_origin string, words array<struct<text:string,l:double,t:double,r:double,b:double,page:int,coord_origin:string,font_size:double,confidence:double>>"
 TREE = (
     "page_width double, page_height double, texts array<struct<label:string,text:string,prov:array<struct<page_no:int,"
@@ -88,6 +90,7 @@ def read_pages(files: DataFrame, readers: Callable[[], list[PageReader]]) -> Dat
     """
     schema = "document_id string, page_number int, page_width double, page_height double, word_no long, text string, l double, t double, r double, b double, confidence double"
     names = [x.split()[0] for x in schema.split(", ")]
+    ship(files.sparkSession)
 
     def run(batches):
         chain = readers()

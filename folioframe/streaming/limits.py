@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioframe.operators.folds import running_fold
+from folioframe.shipping import ship
 
 
 def _sliding(state: list, micros: int, times: int, seconds: int) -> int:
@@ -43,6 +44,7 @@ def limited(calls: DataFrame, rule: str, times: int, seconds: int) -> DataFrame:
 def limited_stream(calls: DataFrame, rule: str, times: int, seconds: int) -> DataFrame:
     """The same over a stream; the state of a client is at most ``times`` instants."""
     decide = RULES[rule]
+    ship(calls.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
