@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from folioframe.shipping import ship
+
 #: Rows and bytes that one Arrow batch hands to a Python worker; bounds its memory for long texts.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -23,18 +23,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 def prepare(spark: SparkSession) -> None:
     """Ship this package to the executors once per context and bound the Arrow batches."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_folioframe_shipped", False):
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        archive = os.path.join(tempfile.mkdtemp(), "folioframe.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for folder, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        sc.addPyFile(archive)
-        sc._folioframe_shipped = True
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
