@@ -5,7 +5,9 @@ are dealt by hash to cells of some ``CELL`` pieces, each a packing problem of it
 of a population work on in separate tasks. A chromosome is a list of bins, a bin the lengths in it (pieces
 of one length are interchangeable). Crossover puts the best-filled bins of one parent in front, removes
 the other parent's bins that need a length already used up, and best-fits the displaced lengths. After
-each epoch every island receives the elite of its neighbour. Cells bound the memory of a task at any
+each epoch every island receives the elite of its neighbour. An island stops where its packing reaches the
+least possible number of bins, or after ``PATIENCE`` generations without a better one; ``generations`` in
+the result is the number that the cell's islands bred in all (0: best fit was already optimal). Cells bound the memory of a task at any
 size of the input and cost at most about one partly filled sequence each.
 
 Corner cases: a null or empty text is the single id 0; repeated rows are packed one by one; an empty
@@ -30,8 +32,9 @@ CAPACITY = 2048
 CELL = 16_384
 ISLANDS = 3
 EPOCHS = 2
-POPULATION = 3
-GENERATIONS = 3
+POPULATION = 8
+GENERATIONS = 40
+PATIENCE = 10
 INJECT = 0.3
 END_ID = 0
 
@@ -43,23 +46,31 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Token ids of a byte-level BPE file.
+    """Token ids of a byte-level BPE file, as ``Tokenizer.from_file(path)`` gives them.
 
     The ranks of the same vocabulary beside the file (``.tiktoken``) give the same ids several times
-    faster; without them, or if a text makes that coder fail, the file itself is used.
+    faster; they take the file's special tokens, whose strings in a text are these tokens. Without the
+    ranks, with special tokens that strip or need word ends, or if a text makes the fast coder fail, the
+    file itself is used.
     """
 
     def __init__(self, path: str) -> None:
         self.path, self.slow, self.fast = path, None, None
         try:
             import base64
+            import json
 
             import public_tokenizers
             import tiktoken
 
-            lines = map(bytes.split, open(path.removesuffix(".json") + ".tiktoken", "rb"))
-            ranks = {base64.b64decode(a): int(b) for a, b in lines}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            with open(path, encoding="utf-8") as f:
+                added = json.load(f).get("added_tokens") or []
+            if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+                return
+            with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            special = {t["content"]: t["id"] for t in added}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         except (ImportError, FileNotFoundError):
             pass
 
@@ -74,7 +85,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -83,9 +93,9 @@ class Encoder:
         got = None
         if self.fast is not None:
             try:
-                got = self.fast.encode_ordinary(text)
-            except BaseException as e:  # the coder's stack gives out on some very long runs
-                if isinstance(e, (KeyboardInterrupt, SystemExit)):
+                got = self.fast.encode(text, allowed_special="all")
+            except BaseException as e:  # the coder panics where its stack gives out on very long runs
+                if type(e).__name__ != "PanicException":  # a class that cannot be imported, beside Exception
                     raise
         if got is None:
             got = self._slowly(text)
@@ -170,27 +180,30 @@ def crossover(a: list[list[int]], b: list[list[int]], need: Counter, capacity: i
     return best_fit(sorted(left.elements(), reverse=True), capacity, child)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[list[int]]], generations: int = GENERATIONS) -> list[list[list[int]]]:
-    """One epoch of one island; stops as soon as no packing can have fewer bins."""
+def evolve(
+    lengths: list[int], capacity: int, seed: int, start: list[list[list[int]]], generations: int = GENERATIONS, size: int = POPULATION, patience: int = PATIENCE
+) -> tuple[list[list[list[int]]], int]:
+    """One epoch of one island: its packings, best first, and the number of generations bred."""
     need, rng, least = Counter(lengths), random.Random(seed), -(-sum(lengths) // capacity)
     population = list(start)
     down = sorted(lengths, reverse=True)
-    while len(population) < POPULATION:
+    while len(population) < size:
         spread = 0.0 if not population and seed % ISLANDS == 0 else 0.25 * rng.random()
         order = sorted(down, key=lambda x: -x * (1 + spread * (rng.random() - 0.5))) if spread else down
         population.append(best_fit(order, capacity))
         if len(population[-1]) <= least:
             break
     rank = lambda p: (len(p), -fitness(p, capacity))
-    for _ in range(generations):
-        population.sort(key=rank)
-        if len(population[0]) <= least or len(population) < 2:
-            break
+    population.sort(key=rank)
+    bred, idle = 0, 0
+    while bred < generations and idle < patience and len(population[0]) > least and len(population) > 1:
+        before = rank(population[0])
         a, b = population[0], population[1 + rng.randrange(len(population) - 1)]
-        population.append(crossover(a, b, need, capacity, rng))
-        population.append(crossover(b, a, need, capacity, rng))
-        population = sorted(population, key=rank)[:POPULATION]
-    return sorted(population, key=rank)
+        population += [crossover(a, b, need, capacity, rng), crossover(b, a, need, capacity, rng)]
+        population = sorted(population, key=rank)[:size]
+        bred += 1
+        idle = 0 if rank(population[0]) < before else idle + 1
+    return population, bred
 
 
 def dump(bins: list[list[int]]) -> bytes:
@@ -210,40 +223,41 @@ def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
 
     def make():
         def work(x):
-            out = {"cell": x["cell"], "island": x["island"], "lengths": x["lengths"], "elites": [], "n_bins": [], "fitness": []}
-            for cell, island, lengths, elites in zip(x["cell"], x["island"], x["lengths"], x["elites"]):
+            out = {"cell": x["cell"], "island": x["island"], "lengths": x["lengths"], "elites": [], "n_bins": [], "fitness": [], "bred": []}
+            for cell, island, lengths, elites, bred in zip(x["cell"], x["island"], x["lengths"], x["elites"], x["bred"]):
                 seed = (cell * 1009 + epoch) * ISLANDS + island
-                best = evolve(lengths, capacity, seed, [load(e) for e in elites or ()])
+                best, more = evolve(lengths, capacity, seed, [load(e) for e in elites or ()])
                 out["elites"].append([dump(p) for p in best[:2]])
                 out["n_bins"].append(len(best[0]))
                 out["fitness"].append(fitness(best[0], capacity))
+                out["bred"].append(bred + more)
             return out
 
         return work
 
-    return map_batches(state.select("cell", "island", "lengths", "elites"), make, "cell long, island int, lengths array<long>, elites array<binary>, n_bins long, fitness double")
+    return map_batches(state.select("cell", "island", "lengths", "elites", "bred"), make, "cell long, island int, lengths array<long>, elites array<binary>, n_bins long, fitness double, bred long")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all rows with ``sequence_id`` and their ``offset`` in it.
+    """Pieces of all rows with ``sequence_id``, their ``offset`` in it and the ``generations`` bred for it.
 
     Texts are read once and never shuffled; what is shuffled are pieces of some 40 bytes, by cell.
     """
     numbered = pieces(docs, vocabulary or default_vocabulary(), capacity).withColumn("number", F.monotonically_increasing_id())
     got, number = save(numbered, "pieces"), F.col("number")  # stored, so that every later reader sees the same numbers
-    full = got.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - number).withColumn("offset", F.lit(0).cast("long"))
+    full = got.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - number).withColumn("offset", F.lit(0).cast("long")).withColumn("generations", F.lit(0).cast("long"))
     rest = got.filter(F.col("length") < capacity)
     cells = max(1, -(-rest.count() // CELL))
     rest = rest.withColumn("cell", F.pmod(F.xxhash64(number), F.lit(cells)))
     lots = save(rest.groupBy("cell").agg(F.sort_array(F.collect_list("length")).alias("lengths")), "cells")
     islands = F.explode(F.array(*(F.lit(i) for i in range(ISLANDS))))
-    state = lots.select("cell", islands.alias("island"), "lengths", F.array().cast("array<binary>").alias("elites")).repartition(cells * ISLANDS)
+    state = lots.select("cell", islands.alias("island"), "lengths", F.array().cast("array<binary>").alias("elites"), F.lit(0).cast("long").alias("bred")).repartition(cells * ISLANDS)
     for epoch in range(EPOCHS):
         if epoch:
             migrants = state.select("cell", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("elites", 1, 1).alias("migrant"))
             state = state.join(migrants, ["cell", "island"]).withColumn("elites", F.concat("elites", "migrant")).repartition(cells * ISLANDS)
         state = save(_epoch(state, capacity, epoch), f"epoch{epoch}")
-    best = state.groupBy("cell").agg(F.max_by(F.element_at("elites", 1), F.struct(-F.col("n_bins"), "fitness", "island")).alias("bins"))
+    best = state.groupBy("cell").agg(F.max_by(F.element_at("elites", 1), F.struct(-F.col("n_bins"), "fitness", "island")).alias("bins"), F.sum("bred").alias("generations"))
 
     def place(left, right):
         import pyarrow as pa
@@ -262,8 +276,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
                 sequence[r], offset[r] = (cell << 32) + k, at
                 at += x
         cols = {n: left.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        return pa.table(cols | {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())})
+        return pa.table(cols | {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64()), "generations": pa.repeat(right.column("generations")[0], len(lengths))})
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, generations long"
     placed = rest.groupBy("cell").cogroup(best.groupBy("cell")).applyInArrow(place, schema)
     return placed.unionByName(full.select(*placed.columns))

@@ -372,7 +372,6 @@ def check_packing(got, rows, capacity=packing.CAPACITY):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(packing.default_vocabulary())
-    coder.encode_special_tokens = True
     want = Counter()
     for doc, text in rows:
         ids = np.array([*coder.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -407,7 +406,7 @@ def test_packing_corner_cases(odd_clashing, none):
 def test_genetic_steps_keep_every_length():
     rng = random.Random(0)
     lengths = [rng.randint(1, 900) for _ in range(300)]
-    for p in packing.evolve(lengths, 1000, 5, []):
+    for p in packing.evolve(lengths, 1000, 5, [])[0]:
         assert Counter(x for b in p for x in b) == Counter(lengths) and max(map(sum, p)) <= 1000
     a, b = packing.best_fit(lengths, 1000), packing.best_fit(sorted(lengths), 1000)
     child = packing.crossover(a, b, Counter(lengths), 1000, rng)
@@ -415,6 +414,38 @@ def test_genetic_steps_keep_every_length():
     assert packing.load(packing.dump(child)) == child
 
 
+def test_token_ids_are_those_of_the_file():
+    from tokenizers import Tokenizer
+
+    coder, plain = packing.Encoder(packing.default_vocabulary()), Tokenizer.from_file(packing.default_vocabulary())
+    special = coder.ids("a <|endoftext|> b")
+    assert len(special) == 5 and zlib.crc32(special.tobytes()) == 1893987649
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", " ", "\n\n", "  x", "don't", "é", "🙂", "12 345", "\t", "<|end", "of", "!!", "的", "\u2028", "\x00", "\x85"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        assert coder.ids(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_crossover_beats_best_fit():
+    rng, lengths = random.Random(3), []
+    for _ in range(60):  # three pieces fill a sequence, so sixty sequences are enough
+        a = rng.randint(380, 490)
+        b = rng.randint((1000 - a) // 2, 750 - a)
+        lengths += [a, b, 1000 - a - b]
+    start = packing.evolve(lengths, 1000, 1, [], generations=0)[0]
+    best, bred = packing.evolve(lengths, 1000, 1, [])
+    assert bred > 0 and 60 <= len(best[0]) < len(start[0]) <= len(packing.best_fit(sorted(lengths, reverse=True), 1000))
+
+
+def test_migration_and_generations_are_reported(spark, monkeypatch):
+    lengths = [(k, 340 + k % 3) for k in range(90)]  # no two sequences of 1000 can be full
+    monkeypatch.setattr(packing, "pieces", lambda docs, vocabulary, capacity: spark.createDataFrame([(d, 0, 0, n, 0) for d, n in lengths], "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    got = packing.pack(None, "", 1000).collect()
+    assert len({r.generations for r in got}) == 1 and got[0].generations >= packing.ISLANDS * packing.EPOCHS * packing.PATIENCE
+    assert Counter((r.doc_id, r.length) for r in got) == Counter(lengths)
+
+
 # --- languages ------------------------------------------------------------------------------------------
 
 
