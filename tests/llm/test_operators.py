@@ -466,20 +466,73 @@ def test_forward_sums_all_segmentations():
     def total(word, k):
         return 1.0 if not word else sum(p[n, k] * total(word[len(x) :], k) for x, n in pieces.items() if word.startswith(x))
 
-    words = [b"a", b"ab", b"abab", b"babab", b"aabba", b"ab" * 20]
+    words = [b"a", b"ab", b"abab", b"babab", b"aabba"]
     got = np.exp(model.log_words(words))
-    want = np.array([[total(w, k) for k in (0, 1)] if len(w) < 12 else np.exp(model.long_word(w)) for w in words])
-    assert np.allclose(got, want, rtol=1e-9)
-    assert np.allclose(np.exp(model.long_word(b"babab")), got[3])
+    want = np.array([[total(w, k) for k in (0, 1)] for w in words])
+    assert np.allclose(got, want, rtol=1e-9) and np.allclose(np.exp([model.long_word(w) for w in words]), want, rtol=1e-9)
     uses = model.expected(Counter({b"aba": 2}), 0)
     z = total(b"aba", 0)
     assert np.isclose(uses[3], 2 * p[3, 0] / z) and np.isclose((uses * [1, 1, 2, 3, 2]).sum(), 6)
-    every = list(language_id.load_pieces(language_id.default_vocabulary()))
+
+
+def test_all_pieces_take_part_and_words_of_any_length_agree(monkeypatch):
+    table = language_id.load_pieces(language_id.default_vocabulary())
+    assert len(table) == 50_256
+    rng = np.random.default_rng(4)
+    p = rng.random((len(table), 3)) ** 30 + 1e-15  # spread over many powers of ten, as in a large corpus
+    model = language_id.Model(table, p / p.sum(0))
+    memo = {}
+
+    def total(word, k):
+        if (word, k) not in memo:
+            hits = [(table[word[:j]], word[j:]) for j in range(1, len(word) + 1) if word[:j] in table]
+            memo[word, k] = np.logaddexp.reduce([model.log_p[n, k] + total(rest, k) for n, rest in hits]) if word else 0.0
+        return memo[word, k]
+
+    some = sorted((x for x in table if x[:1] == b" " and len(x.split()) == 1 and x[1:].split() == [x[1:]]), key=len)
+    words = some[::900] + some[-8:] + [b" unladenswallow", "été".encode(), bytes(range(200, 224)), b" " + b"abcdefgh" * 20]
+    want = np.array([[total(w, k) for k in range(3)] for w in words])
+    assert max(map(len, some)) > language_id.TOGETHER - 10 and np.allclose(model.log_words(words), want, rtol=1e-9, atol=0)
+    long_uses = model.expected(Counter({words[-1]: 3, words[5]: 1}), 1)
+    monkeypatch.setattr(language_id, "TOGETHER", 1000)
+    assert np.allclose(model.log_words(words), want, rtol=1e-9, atol=0)
+    assert np.allclose(model.expected(Counter({words[-1]: 3, words[5]: 1}), 1), long_uses, rtol=1e-9, atol=1e-12)
+    lengths = np.array(list(map(len, table)))
+    assert np.isclose((long_uses * lengths).sum(), 3 * len(words[-1]) + len(words[5]))
+
+    low = language_id.Model(table, np.tile([[5e-15, 1e-15]], (len(table), 1)) * (lengths == 1)[:, None] + 1e-300)
+    unseen = bytes(range(200, 224))  # 24 bytes: far beyond the smallest number that a product could hold
+    monkeypatch.undo()
+    for w in (unseen, unseen + unseen):
+        assert np.allclose(low.log_words([w])[0], len(w) * np.log([5e-15, 1e-15]), rtol=1e-9)
+
+
+def test_language_brute_force(spark):
+    """Training and prediction end to end, with every step written out over dictionaries."""
+    rows = [(1, "the house the tree", "en"), (2, "das haus der baum", "de"), (3, "a tree", "en"), (4, "haus", None), (5, "treehouse hausbaum", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, model = language_id.train(docs, F.lit(True))
     table = language_id.load_pieces(language_id.default_vocabulary())
-    for n in (1, 3, 7):
-        some = [x for x in every if len(x) == n][:500]
-        at = language_id.lattice(n).index((0, n))
-        assert language_id.Model(table, np.zeros((len(table), 1)))._arcs(some, n)[at].tolist() == [table[x] for x in some]
+    p = {k: np.full(len(table), 1 / len(table)) for k in langs}
+
+    def paths(word):
+        return [[]] if not word else [[table[word[:j]], *rest] for j in range(1, len(word) + 1) if word[:j] in table for rest in paths(word[j:])]
+
+    for _ in range(language_id.STEPS):
+        for k in langs:
+            c = np.full(len(table), language_id.SMOOTH)
+            for _, text, lang in rows:
+                for word in text.split() if lang == k else ():
+                    every = paths(b" " + word.encode())
+                    weight = np.array([np.prod(p[k][x]) for x in every])
+                    for x, w in zip(every, weight / weight.sum()):
+                        np.add.at(c, x, w)
+            p[k] = c / c.sum()
+    assert np.allclose(model.p, np.stack([p[k] for k in langs], 1), rtol=1e-9)
+    for r in language_id.predict(docs, langs, model).collect():
+        total = [sum(np.log(sum(np.prod(p[k][x]) for x in paths(b" " + w.encode()))) for w in r.row.text.split()) for k in langs]
+        share = np.exp(np.array(total) - max(total))
+        assert r.lang_pred == langs[int(np.argmax(total))] and np.isclose(r.score, share.max() / share.sum())
 
 
 def test_language_corner_cases(odd, none):
