@@ -1,13 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Every batch of documents adds one sorted run of (line key, number of documents, largest ``doc_id``); when
-a level holds ``fanout`` runs they are merged into one run of the next level, so a key is rewritten a
-logarithmic number of times. A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z
-lower-cased, held as a 128-bit hash; keys of fewer than ``MIN_CHARS`` code points are never looked at.
-
-Whether a line is too frequent, and which document keeps it, is known only when all batches are in, so
-the corpus query adds every batch first and anti-joins the lines with the runs afterwards; ``admit`` is
-the incremental form, where a batch loses at once what earlier batches have shown.
+Every batch of documents adds one run of (line key, number of documents, document that keeps the line),
+bucketed and sorted by key. A new batch merge-anti-joins the runs to find the keys that none of them holds:
+of these the batch's largest ``doc_id`` is the keeper; of all others it adds counts alone. When a level
+holds two runs they are merged, in order of their keys, into one run of the next level, so a key is
+rewritten a logarithmic number of times; merging and joining shuffle and sort nothing. A line's key is the
+line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased, held as a 128-bit hash; keys of fewer than
+``MIN_CHARS`` code points are never looked at.
+
+The corpus query takes batches from the largest ``doc_id`` downward, so a line's keeper is the largest
+document that holds it; whether a line is too frequent is known when all batches are in. ``admit`` is the
+incremental form, where a batch loses at once what earlier batches have shown.
 
 Corner cases: a null or empty text is one empty line and stays as it is; rows repeated with one
 ``doc_id`` count as one document and are treated alike; rows with a null ``doc_id`` neither count nor
@@ -17,17 +20,18 @@ lose lines; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.runtime import drop, extend_batches, map_batches, save
+from folioframe.llm.runtime import drop, extend_batches, join_heavy, map_batches, save, save_sorted
 from folioframe.llm.textstats import SPACE
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-BATCHES = 4
-FANOUT = 4
+#: Documents of a batch of a table this large; the number of batches grows with the root of the table.
+BATCH_DOCS = 50_000
 
 
 def line_key(line: str) -> bytes | None:
@@ -37,8 +41,8 @@ def line_key(line: str) -> bytes | None:
     return hashlib.blake2b(bare.encode().lower(), digest_size=16).digest()
 
 
-def line_table(docs: DataFrame, batches: int = 1) -> DataFrame:
-    """``key, doc_id, batch``: the distinct keys of every row; a document's lines are in one batch."""
+def line_table(docs: DataFrame) -> DataFrame:
+    """``key, doc_id``: the distinct keys of every row."""
 
     def make():
         def work(x):
@@ -52,54 +56,71 @@ def line_table(docs: DataFrame, batches: int = 1) -> DataFrame:
         return work
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    return map_batches(narrow, make, "key binary, doc_id long").withColumn("batch", batch)
+    return map_batches(narrow, make, "key binary, doc_id long")
 
 
 class LineRuns:
-    """Levels of sorted runs; a run is a Parquet table in the shared folder."""
-
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
-
-    def _put(self, level: int, run: DataFrame) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(save(run.sortWithinPartitions("key"), f"run{level}"))
-        if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merge(old))
-            drop(*old)
+    """Levels of sorted runs ``key, n_docs, last_doc``; a run is a table in the shared folder.
 
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        whole = runs[0]
-        for run in runs[1:]:
-            whole = whole.unionByName(run)
-        return whole.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    ``last_doc`` is the largest document of the batch that brought the key first, and null in the runs of
+    later batches.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.levels: list[DataFrame | None] = []
 
     @property
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run for run in self.levels if run is not None]
 
-    def add(self, lines: DataFrame) -> None:
-        """Aggregate a batch of ``key, doc_id`` to a run; a hot key is combined before the shuffle."""
-        once = lines.select("key", "doc_id").distinct()
-        self._put(0, once.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
-
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The lines of a batch that no run holds: one merge anti-join for each run."""
+    @staticmethod
+    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs as one: a merge join of both, in the order of their keys."""
+        a, b = a.toDF("key", "n_a", "last_a"), b.toDF("key", "n_b", "last_b")
+        n = F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))
+        return a.join(b, "key", "full").select("key", n.alias("n_docs"), F.coalesce("last_a", "last_b").alias("last_doc"))
+
+    def _put(self, run: DataFrame) -> None:
+        level = 0
+        while level < len(self.levels) and (old := self.levels[level]) is not None:
+            whole = save_sorted(self.merged(old, run), f"run{level + 1}", "key")
+            drop(old, run)
+            self.levels[level], run, level = None, whole, level + 1
+        self.levels += [None] * (level + 1 - len(self.levels))
+        self.levels[level] = run
+
+    def unseen(self, keyed: DataFrame) -> DataFrame:
+        """The rows of a batch whose key no run holds: one merge anti-join for each run."""
         for run in self.runs:
-            lines = lines.join(run.select("key"), "key", "left_anti")
-        return lines
+            keyed = keyed.join(run.select("key"), "key", "left_anti")
+        return keyed
+
+    def add(self, lines: DataFrame) -> None:
+        """Add a batch of distinct ``key, doc_id``; a hot key is combined before the shuffle."""
+        own = save_sorted(lines.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "batch", "key")
+        if not self.runs:
+            return self._put(own)
+        fresh = save_sorted(self.unseen(own.select("key", "last_doc")), "fresh", "key")
+        run = save_sorted(own.select("key", "n_docs").join(fresh, "key", "left").select("key", "n_docs", "last_doc"), "run0", "key")
+        drop(own, fresh)
+        self._put(run)
 
     def frequent(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """``key, last_doc`` of the keys in ``min_docs`` documents or more."""
+        """``key, n_docs, last_doc`` of the keys in ``min_docs`` documents or more; all runs become one."""
         if not self.runs:
-            return self.spark.createDataFrame([], "key binary, last_doc long")
-        runs = self.runs
-        return (runs[0] if len(runs) == 1 else self._merge(runs)).filter(F.col("n_docs") >= min_docs).select("key", "last_doc")
+            return self.spark.createDataFrame([], "key binary, n_docs long, last_doc long")
+        runs, top = self.runs, len(self.levels) - 1
+        whole = runs[0]
+        for run in runs[1:]:
+            whole, old = save_sorted(self.merged(run, whole), "whole", "key"), (run, whole)
+            drop(*old)
+        self.levels = [None] * top + [whole]
+        return whole.filter(F.col("n_docs") >= min_docs)
+
+    def clear(self) -> None:
+        drop(*self.runs)
+        self.levels = []
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, digest: bool = False) -> DataFrame:
@@ -110,7 +131,8 @@ def without_lines(docs: DataFrame, gone: DataFrame, digest: bool = False) -> Dat
     """
     per = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("key").alias("_gone"))
     packed = docs.select(F.struct("*").alias("doc"), "text", F.col("doc_id").cast("long").alias("_id"))
-    packed = packed.join(per, F.col("_id") == F.col("_doc"), "left").select("doc", "text", "_gone")
+    spread = F.coalesce("_id", F.xxhash64("text"))  # rows without an id match nothing, and must not meet in one task
+    packed = packed.join(per, (spread == F.col("_doc")) & F.col("_id").isNotNull(), "left").select("doc", "text", "_gone")
 
     def make():
         def work(texts, gone):
@@ -133,13 +155,27 @@ def without_lines(docs: DataFrame, gone: DataFrame, digest: bool = False) -> Dat
     return extend_batches(packed, ["text", "_gone"], make, "n_lines long, n_dropped long, kept string").select("row.doc", "n_lines", "n_dropped", "kept")
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def _batch(docs: DataFrame, batches: int) -> Column:
+    """0 for the largest ids, and so on; a document is in one batch whatever the number of its rows."""
+    cuts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    cuts = F.array(*(F.lit(c) for c in sorted(set(map(int, cuts)))))
+    return F.size(F.filter(cuts, lambda c: F.col("doc_id") < c)) if batches > 1 else F.lit(0)
+
+
+def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """``doc_id, key`` of the lines to drop: all in ``min_docs`` documents or more, but in the last one."""
-    lines, store = save(line_table(docs, batches), "lines"), LineRuns(docs.sparkSession, fanout)
+    spark = docs.sparkSession
+    batches = batches or max(1, math.ceil(math.sqrt(docs.count() / BATCH_DOCS)))
+    parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // batches))
+    lines = line_table(docs).withColumn("batch", _batch(docs, batches)).withColumn("part", F.pmod(F.xxhash64("key", "doc_id"), F.lit(parts)))
+    lines = lines.repartition(batches * parts, "batch", "part").dropDuplicates(["batch", "part", "key", "doc_id"])
+    lines, store = save(lines.select("key", "doc_id", "batch"), "lines", "batch"), LineRuns(spark)
     for b in range(batches):
-        store.add(lines.filter(F.col("batch") == b))
+        store.add(lines.filter(F.col("batch") == b).select("key", "doc_id"))
     heavy = save(store.frequent(min_docs), "frequent")
-    return lines.join(heavy, "key").filter("doc_id <> last_doc").select("doc_id", "key").distinct()
+    store.clear()
+    met = join_heavy(lines, heavy, "key", "n_docs", lines.count())
+    return met.filter("doc_id <> last_doc").select("doc_id", "key")
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:
@@ -151,9 +187,10 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
 
 def admit(docs: DataFrame, store: LineRuns) -> DataFrame:
     """Incremental form: the batch without the lines that earlier batches hold; its own lines are added."""
-    lines = save(line_table(docs), "lines")
-    fresh = store.unseen(lines).select("key", "doc_id")
-    gone = save(lines.select("key", "doc_id").join(fresh, ["key", "doc_id"], "left_anti").distinct(), "seen")
+    lines = save(line_table(docs).distinct(), "lines")
+    fresh = save(store.unseen(lines.select("key").distinct()), "fresh")
+    gone = save(lines.join(fresh, "key", "left_anti").select("doc_id", "key"), "seen")
     store.add(lines)
+    drop(lines, fresh)
     got = without_lines(docs, gone)
     return got.select(*((F.col("kept") if n == "text" else F.col(f"doc.`{n}`")).alias(n) for n in docs.columns))

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from folioframe.shipping import ship
+from folioframe.storage import SORTED, drop, keep_until_exit, save, save_sorted, settings, shared_root  # noqa: F401  for the operators
 
 #: Rows and bytes that one Arrow batch hands to a Python worker; bounds its memory for long texts.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-_written: list[tuple[SparkSession, str]] = []
-
+#: Keys that ``join_heavy`` broadcasts, at most.
+HEAVY = 4096
 
 def prepare(spark: SparkSession) -> None:
     """Ship this package to the executors once per context and bound the Arrow batches."""
@@ -28,57 +24,18 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="folioframe-")
-        sc.setCheckpointDir(root)
-    return root
-
+def join_heavy(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a (saved) table of one row per key, whose column ``n`` counts the key's rows.
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
-
-    The files survive the loss of any executor. They go when ``drop`` is called or the driver ends.
-    The shuffle files behind them are removed as soon as they are written; left to the collection of the
-    driver's garbage, those of several steps would pile up on the executors' disks.
+    The counts add up to ``total`` at most, so fewer than ``HEAVY`` keys hold more than one ``HEAVY``-th of
+    all rows; these are broadcast, and their rows stay where they are. All others are dealt by key, none of
+    them to a hot task.
     """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/folioframe-{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folioframe_path = path
-    return out
-
-
-def drop(*frames: DataFrame) -> None:
-    """Delete what ``save`` wrote for these frames; nothing may read them afterwards."""
-    for df in frames:
-        _delete(df.sparkSession, df._folioframe_path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-    _written[:] = [x for x in _written if x[1] != path]
-
-
-@atexit.register
-def _delete_all() -> None:
-    for spark, path in list(_written):
-        try:
-            _delete(spark, path)
-        except Exception:  # the gateway may be gone by now
-            return
+    from pyspark.sql import functions as F  # noqa: PLC0415
+
+    heavy = F.broadcast(per_key.filter(F.col(n) * HEAVY > total))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(per_key.filter(F.col(n) * HEAVY <= total), key)
+    return rows.join(heavy, key).unionByName(rest)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
