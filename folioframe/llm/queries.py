@@ -83,6 +83,30 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d)
+), gone AS (
+  SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1
+), runs AS (
+  SELECT doc_id, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run, p
+  FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM gone)
+), spans AS (
+  SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run
+), heads AS (
+  SELECT s.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS head
+  FROM spans s JOIN d ON d.doc_id = s.doc_id WINDOW w AS (PARTITION BY s.doc_id ORDER BY a)
+), per AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(head, '' ORDER BY a) AS heads FROM heads GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(heads, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.llm.bitsliced import top_k
 
@@ -121,8 +145,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.llm.mixing import mixed
 
     return mixed(_table(spark, sf_dir, "documents")).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"),
+        F.col("row.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
@@ -191,4 +214,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_exact_topk": OP7_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_suffix_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL, "op10_mixing": OP10_SQL}
