@@ -125,4 +125,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = attach_counts(docs)
-    return counted.filter(~base & rules.column().isNull()).select(*(F.col(f"row.{n}") for n in names))
+    return counted.filter(~base & rules.column().isNull()).select(*(F.col("row").getField(n).alias(n) for n in names))

@@ -48,14 +48,18 @@ def _edges(x: np.ndarray) -> list[np.ndarray]:
     return [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
 
 
-def _tree(codes, edges, grad, hess, names):
-    """One regression tree on the gradients, by histograms; gives its paths and its fitted values."""
+def _tree(codes, edges, grad, hess, names, use):
+    """One regression tree on the gradients of the rows in ``use``, by histograms.
+
+    Gives its paths and its values for all rows.
+    """
     paths, fit = [], np.zeros(len(codes))
     todo = [((), np.arange(len(codes)), 0)]
     while todo:
-        path, rows, depth = todo.pop()
+        path, every, depth = todo.pop()
+        rows = every[use[every]]
         g, h = grad[rows].sum(), hess[rows].sum()
-        fit[rows] = g / (h + 1)
+        fit[every] = g / (h + 1)
         best = (1e-6, None)
         if depth < DEPTH and len(rows) >= 2 * LEAST_LEAF:
             for f in range(codes.shape[1]):
@@ -70,11 +74,11 @@ def _tree(codes, edges, grad, hess, names):
                     best = (gain.max(), (f, int(gain.argmax())))
         if best[1] is not None:
             f, k = best[1]
-            left = codes[rows, f] <= k
+            left = codes[every, f] <= k
             for op, side in (("<=", left), (">", ~left)):
                 to = (*path, (names[f], op, float(edges[f][k])))
                 paths.append(to)
-                todo.append((to, rows[side], depth + 1))
+                todo.append((to, every[side], depth + 1))
     return paths, fit
 
 
@@ -120,9 +124,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleEnsemble:
         use = rng.random(len(y)) < 0.5
         if use.sum() < 2 * LEAST_LEAF:
             use[:] = True
-        paths, _ = _tree(codes[use], edges, (y - p)[use], (p * (1 - p))[use], names)
+        paths, value = _tree(codes, edges, y - p, p * (1 - p), names, use)
         found.update(dict.fromkeys(map(_simplest, paths)))
-        _, value = _tree(codes, edges, y - p, p * (1 - p), names)
         odds = odds + SHRINK * value
     rules = list(found)
     z = np.ones((len(y), len(rules)), np.float64)

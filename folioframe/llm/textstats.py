@@ -106,7 +106,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fold: Column | None, mos
     """Statistics and labels of at most ``most`` labelled rows, the first by a hash of ``doc_id``.
 
     The ids are bounded by ``most``, so they are broadcast and the statistics of just these rows are
-    collected (``most`` x features doubles). Null labels and ids are left out.
+    collected (``most`` x features doubles; of rows that share an id, the least statistics). Null labels
+    and ids are left out.
     """
     picked = labels.filter("quality is not null and doc_id is not null")
     if fold is not None:
@@ -116,6 +117,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fold: Column | None, mos
     spark, names = docs.sparkSession, list(features())
     ids = spark.createDataFrame([(r[0], int(r[1])) for r in rows], "label_id long, quality int")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"), "left_semi")
-    got = text_counts(some).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", *(v.alias(k) for k, v in features().items())).collect()
-    got.sort(key=lambda r: tuple(r))
+    each = text_counts(some).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+    each = each.groupBy("doc_id").agg(F.min(F.struct("quality", *(v.alias(k) for k, v in features().items()))).alias("row"))
+    got = sorted(each.select("doc_id", "row.*").collect(), key=tuple)
     return np.array([r[2:] for r in got], float).reshape(-1, len(names)), np.array([r[1] for r in got], int)
