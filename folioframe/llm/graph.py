@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.runtime import drop, save
+from folioframe.llm.runtime import drop, join_heavy, save
 
 
 class UnionFind:
@@ -30,33 +30,37 @@ class UnionFind:
         return True
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step: every node hands its larger (or smaller) neighbours to the least node it knows."""
+def _stars(edges: DataFrame, n: int, large: bool) -> DataFrame:
+    """One star step over ``n`` links: every node hands its larger (or smaller) neighbours to the least node it knows."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    if large:
-        moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = save(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
+    moved = join_heavy(both.filter("b > a") if large else both, least, "a", "n", 2 * n if large else n)
+    moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
+    if not large:
         moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
-    return moved.filter("a <> b").distinct()
+    moved = save(moved.filter("a <> b").distinct(), "links")
+    drop(least)
+    return moved
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a long, b long)`` -> ``(id long, component long)`` for every node with a link.
 
     Alternates large-star and small-star steps until nothing moves; then every node points straight
-    at the least node of its component. A node's neighbours are only ever aggregated (a minimum, with
-    map-side combine), so a hub with a third of all links is no hot task. Rounds grow with the
-    logarithm of the longest path. Self-links and nulls are ignored; no links give no rows.
+    at the least node of its component. A node's neighbours are aggregated (a minimum, with map-side
+    combine), and the links of hubs, which are few, meet that minimum by broadcast, so a hub with a third
+    of all links is no hot task. Rounds grow with the logarithm of the longest path. Self-links and nulls
+    are ignored; no links give no rows.
     """
     now = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
-        then = save(_stars(_stars(now, True), False), "links")
+        half = _stars(now, now.count(), True)
+        then = _stars(half, half.count(), False)
+        drop(half)
         mark = then.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
         drop(now)
         now = then

@@ -15,16 +15,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.graph import UnionFind, components
-from folioframe.llm.runtime import drop, map_batches, save
+from folioframe.llm.runtime import drop, join_heavy, map_batches, save
 from folioframe.llm.words import GOLD, WordHashes, lower_words, mix, shingle_hashes
 
-ROWS = 4
+ROWS = 8
 #: Chance that a pair exactly at the threshold shares no band.
 MISS = 1e-5
-#: Distinct texts that one verification task compares with as many others.
+#: Distinct texts, and bytes of them, that one verification task compares with as many others.
 BLOCK = 512
+BLOCK_BYTES = 8 << 20
 #: Columns of the incidence matrix held at once while verifying.
 COLUMNS = 4096
+#: Shingles sketched together, and levels after which the permutations are written out.
+TOGETHER = 1 << 15
+SPARSE_LEVELS = 16
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -32,46 +36,67 @@ def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
 
 
-def super_minhash(shingles: np.ndarray, slots: int) -> np.ndarray:
-    """Signature of a set of 64-bit hashes, after Ertl's SuperMinHash.
+def super_minhash(shingles: np.ndarray, sizes: np.ndarray, slots: int) -> np.ndarray:
+    """Signatures (sets x slots) of sets of 64-bit hashes that lie one behind the other, after Ertl's SuperMinHash.
 
     Every element deals its ranks 0, 1, 2... to the slots along its own random permutation, each with a
     random fraction; a slot keeps the least rank and fraction. All elements go one level at a time, and
-    the levels stop as soon as every slot holds a lower rank than the next level could offer, which
-    for long texts is after one or two. Returned as rank << 32 | fraction.
+    those of a set stop as soon as every slot of it holds a lower rank than the next level could offer,
+    which for long texts is after a few. A permutation grows by one swap a level, so its first levels are
+    kept as the swaps alone and only what small sets need beyond is written out. Returned as
+    rank << 32 | fraction; empty sets keep the largest number.
     """
-    sig = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
-    low, top = np.uint64(0xFFFFFFFF), np.uint64(32)
-    perm = None
+    sig = np.full((len(sizes), slots), np.iinfo(np.uint64).max, np.uint64)
+    of, low, top = np.repeat(np.arange(len(sizes)), sizes), np.uint64(0xFFFFFFFF), np.uint64(32)
+    swaps: list[tuple[np.ndarray, np.ndarray]] = []  # (place, what moved there) of every level
+    perm, flat = None, sig.reshape(-1)
     with np.errstate(over="ignore"):
         for level in range(slots):
             r = mix(shingles + GOLD * np.uint64(level + 1))
-            swap = level + (((r & low) * np.uint64(slots - level)) >> top).astype(np.intp)
-            if perm is None and level == 0:
-                slot, first = swap, swap
+            place = level + (((r & low) * np.uint64(slots - level)) >> top).astype(np.int16)
+            if level == SPARSE_LEVELS:
+                perm = np.tile(np.arange(slots, dtype=np.int16), (len(shingles), 1))
+                for to, what in swaps:
+                    perm[np.arange(len(shingles)), to] = what
+            if perm is None:
+                held, own = place.copy(), np.full(len(shingles), level, np.int16)
+                for to, what in swaps:
+                    np.copyto(held, what, where=to == place)
+                    np.copyto(own, what, where=to == level)
+                swaps.append((place, own))
             else:
-                if perm is None:
-                    perm = np.tile(np.arange(slots, dtype=np.int16), (len(shingles), 1))
-                    at = np.arange(len(shingles))
-                    perm[at, 0], perm[at, first] = perm[at, first], perm[at, 0]
-                held = perm[at, swap]
-                perm[at, swap] = perm[at, level]
-                perm[at, level] = held
-                slot = held
-            np.minimum.at(sig, slot, (np.uint64(level) << top) | (r >> top))
-            if int(sig.max()) >> 32 <= level:
+                at = np.arange(len(shingles))
+                held = perm[at, place]
+                perm[at, place] = perm[:, level]
+            np.minimum.at(flat, of * slots + held, (np.uint64(level) << top) | (r >> top))
+            open_ = (sig.max(1) >> top) > np.uint64(level)
+            keep = open_[of]
+            left = np.count_nonzero(keep)
+            if not left:
                 break
+            if left < 0.75 * len(keep):
+                shingles, of = shingles[keep], of[keep]
+                swaps = [(to[keep], what[keep]) for to, what in swaps]
+                perm = None if perm is None else perm[keep]
     return sig
 
 
-def band_keys(shingles: np.ndarray, bands: int, rows: int = ROWS) -> list[int]:
-    """One signed 64-bit key per band."""
-    sig = super_minhash(shingles, bands * rows).reshape(bands, rows)
-    with np.errstate(over="ignore"):
-        key = np.arange(1, bands + 1, dtype=np.uint64) * GOLD
-        for i in range(rows):
-            key = mix((key ^ sig[:, i]) + GOLD)
-    return key.view(np.int64).tolist()
+def band_keys(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndarray:
+    """Signed 64-bit keys, sets x bands; sets of similar size are sketched together."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.empty((len(sets), bands), np.int64)
+    order, at = np.argsort(sizes, kind="stable"), 0
+    while at < len(order):
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[order[at:]]), TOGETHER)))
+        some = order[at:end]
+        sig = super_minhash(np.concatenate([sets[k] for k in some]), sizes[some], bands * rows).reshape(len(some), bands, rows)
+        with np.errstate(over="ignore"):
+            key = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * GOLD, (len(some), 1))
+            for i in range(rows):
+                key = mix((key ^ sig[:, :, i]) + GOLD)
+        out[some] = key.view(np.int64)
+        at = end
+    return out
 
 
 def fingerprint(words: list[bytes]) -> bytes:
@@ -83,18 +108,17 @@ def _sketches(docs: DataFrame, width: int, bands: int) -> DataFrame:
         memo = WordHashes()
 
         def work(x):
-            out = {"doc_id": x["doc_id"], "n_shingles": [], "print": [], "keys": []}
-            for text in x["text"]:
-                words = lower_words(text)
-                s = shingle_hashes(words, width, memo)
-                out["n_shingles"].append(len(s))
-                out["print"].append(fingerprint(words) if words else None)
-                out["keys"].append(band_keys(s, bands) if words else None)
-            return out
+            every = [lower_words(t) for t in x["text"]]
+            sets = [shingle_hashes(w, width, memo) for w in every]
+            keys = band_keys(sets, bands)
+            return {
+                "doc_id": x["doc_id"], "n_shingles": [len(s) for s in sets], "print": [fingerprint(w) if w else None for w in every],
+                "bytes": [len(t) if t else 0 for t in x["text"]], "keys": [k if w else None for w, k in zip(every, keys)],
+            }
 
         return work
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n_shingles long, print binary, keys array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n_shingles long, print binary, bytes long, keys array<long>")
 
 
 def linked_pairs(sets: list[np.ndarray], split: int, per_cent: int) -> list[tuple[int, int]]:
@@ -154,6 +178,11 @@ def _block(n) -> Column:
     return F.pmod(F.xxhash64("id"), n.cast("int")).cast("int")
 
 
+def _blocks(n: str, size: str, block: int) -> Column:
+    """Blocks of at most some ``block`` texts and ``BLOCK_BYTES`` for ``n`` texts of ``size`` bytes in all."""
+    return F.ceil(F.greatest(F.col(n) / block, F.col(size) / BLOCK_BYTES, F.lit(1))).cast("int")
+
+
 def _across(members: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """Block pairs of large clusters for what links within blocks have left apart.
 
@@ -161,11 +190,13 @@ def _across(members: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     of the largest group, which may be nearly all, do not meet each other again.
     """
     known = groups.select("id", F.col("component").alias("g"))
-    m = save(members.select("cluster", "id").join(known, "id", "left").withColumn("g", F.coalesce("g", "id")), "grouped")
-    each = m.groupBy("cluster", "g").agg(F.count("*").alias("n"))
-    main = save(each.groupBy("cluster").agg(F.max_by("g", F.struct("n", -F.col("g"))).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")), "main")
-    m = m.join(main.filter("n_all > n_main"), "cluster")
-    rest, full = F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int"), F.ceil(F.col("n_main") / block).cast("int")
+    m = save(members.select("cluster", "id", "bytes").join(known, "id", "left").withColumn("g", F.coalesce("g", "id")), "grouped")
+    each = m.groupBy("cluster", "g").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    main = each.groupBy("cluster").agg(F.max_by(F.struct("g", "n", "size"), F.struct("n", -F.col("g"))).alias("main"), F.sum("n").alias("n_all"), F.sum("size").alias("size_all"))
+    main = main.select("cluster", F.col("main.g").alias("main"), F.col("main.n").alias("n_main"), F.col("main.size").alias("size_main"), (F.col("n_all") - F.col("main.n")).alias("n_rest"), (F.col("size_all") - F.col("main.size")).alias("size_rest"))
+    main = save(main.withColumn("n_all", F.col("n_main") + F.col("n_rest")).filter("n_rest > 0"), "main")
+    m = join_heavy(m, main, "cluster", "n_all", m.count())
+    rest, full = _blocks("n_rest", "size_rest", block), _blocks("n_main", "size_main", block)
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     inside = m.filter("g = main").withColumn("at", _block(full))
     outside = m.filter("g <> main").withColumn("at", _block(rest))
@@ -195,35 +226,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, block:
     bands = bands_for(per_cent / 100)
     sketch = save(_sketches(docs, width, bands), "sketch")
     some = sketch.filter("print is not null and doc_id is not null")
-    classes = save(some.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
+    classes = save(some.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.max("bytes").alias("bytes"), F.count("*").alias("n")), "classes")
     slots = classes.select("rep", F.explode("keys").alias("key"))
-    hubs = slots.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    clusters = save(components(slots.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "clusters")
-    marks = classes.select(F.col("rep").alias("id"), "print")
+    hubs = save(slots.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
+    met = join_heavy(slots, hubs, "key", "n", bands * classes.count())
+    clusters = save(components(met.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "clusters")
+    marks = classes.select(F.col("rep").alias("id"), "print", "bytes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = clusters.select("id").join(marks, "id").join(texts, F.col("id") == F.col("doc_id"))
-    members = save(members.select("doc_id", "print", "text"), "members")  # all texts are shuffled this once
+    members = save(members.select("doc_id", "print", "bytes", "text"), "members")  # all texts are shuffled this once
 
     def verify(placed: DataFrame) -> DataFrame:
         texts_of = placed.join(members, F.col("id") == F.col("doc_id")).select("cluster", "i", "j", "half", "doc_id", "print", "text")
         return save(_verified(texts_of, width, per_cent), "confirmed")
 
-    sizes = save(clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n")), "sizes")
-    sized = clusters.select(F.col("component").alias("cluster"), "id").join(sizes, "cluster")
-    at = _block(F.ceil(F.col("n") / block))
+    each = save(clusters.select(F.col("component").alias("cluster"), "id").join(marks.select("id", "bytes"), "id"), "each")
+    sizes = save(each.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")), "sizes")
+    sized = join_heavy(each, sizes, "cluster", "n", each.count())
+    at = _block(_blocks("n", "size", block))
     links = verify(sized.select("cluster", "id", at.alias("i"), at.alias("j"), F.lit(0).alias("half")))
-    if not sizes.filter(F.col("n") > block).isEmpty():
-        across = verify(save(_across(sized.filter(F.col("n") > block), components(links), block), "across"))
+    several = _blocks("n", "size", block) > 1
+    if not sizes.filter(several).isEmpty():
+        across = verify(save(_across(sized.filter(several), components(links), block), "across"))
         links = links.unionByName(across)
     groups = save(components(links), "groups").select(F.col("id").alias("rep"), "component")
-    named = classes.select("print", "rep").join(groups, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+    named = classes.select("print", "rep", "n").join(groups, "rep", "left").select("print", "n", F.coalesce("component", "rep").alias("component_id"))
     named = save(named, "named")
-    drop(clusters, classes, members)
+    drop(clusters, classes, hubs, members, each, sizes)
     known = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
-    return known.join(named, "print", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
-    )
+    met = join_heavy(known.filter("print is not null"), named, "print", "n", sketch.count()).select("doc_id", "n_shingles", "component_id")
+    alone = known.filter("print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return met.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
