@@ -8,15 +8,20 @@ anchors at equal places, and an anchor whose gram occurs once cannot lie in a re
 
 1. Whole copies: the least ``doc_id`` of a text stands for it, the copies are covered completely.
 2. Anchors are exchanged as packed arrays by gram hash; the ones that occur twice are the sites.
-3. Every task sorts the suffixes at its sites, front-codes the sorted run and sends it, cut by gram, to
-   the mergers. Suffixes with the same bytes before and after them are combined on the way: all but the
-   first are covered, and only the first travels, so a passage in a third of all documents does not
-   pile up.
+3. Every task sorts the suffixes at its sites, front-codes the sorted run and sends it, cut at splitters
+   (quantiles of a bounded sample of grams), to the mergers, each of which holds one range of the order. Up
+   to ``RANGES`` splitters are used; beyond that a range is shared by several mergers, by gram. Suffixes with
+   the same bytes before and after them are combined on the way: all but the first are covered, and only
+   the first travels, so a passage in a third of all documents does not pile up. A gram that fills more
+   than one ``RANGES``-th of the sample in different surroundings is dealt twice: by the bytes behind it,
+   for windows that reach ``HALF`` bytes or more beyond it, and by those before it for the others.
 4. A merger combines its runs with a loser tree whose matches start behind the prefix already known to be
    common; it yields the sorted suffixes and the common prefix of every neighbouring pair.
 5. For each distance between a window's start and its anchor, suffixes that share enough bytes to the
-   right (from the common prefixes) and to the left (64-bit hashes) are one window; all but the earliest
-   are covered.
+   right and to the left are one window; all but the earliest are covered. Both sides are decided by the
+   bytes themselves: common prefixes of the sorted suffixes, and of the sorted reversed left contexts.
+
+The sample decides only who does what; results do not depend on it.
 
 Corner cases: a null or empty text has no bytes; texts shorter than a window lose nothing; identical rows
 are one document; different texts under one ``doc_id`` are ordered by their digests; rows with a null
@@ -25,9 +30,11 @@ are one document; different texts under one ``doc_id`` are ordered by their dige
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,6 +50,14 @@ SPAN = WINDOW - GRAM
 MERGER_BYTES = 8 << 20
 #: Suffixes that a task sorts into one run.
 RUN = 50_000
+#: Ranges of the sorted order, and the sample that sets their bounds: documents, and grams of each.
+RANGES = 1024
+SAMPLE_DOCS = 4096
+SAMPLE_GRAMS = 16
+#: Bytes of text that a task of the joins reads.
+JOIN_BYTES = 16 << 20
+#: Every window reaches this far beyond its anchor gram on one side at least.
+HALF = SPAN // 2
 
 _BASE = np.uint64(0x9E6C63D0876A9A47)
 _BASE_INVERSE = np.uint64(pow(0x9E6C63D0876A9A47, -1, 1 << 64))
@@ -223,7 +238,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> list[tuple[int, int
 
 
 def front_code(entries: list[tuple], covers: list[tuple], keys: list[tuple[int, bytes]]) -> bytes:
-    """One sorted run as bytes. entries: (suffix, left, doc, position); covers: (doc, start, end)."""
+    """One sorted run as bytes. entries: (suffix, left, doc, position, side); covers: (doc, start, end)."""
     prefixes, rests, last = [], [], b""
     for suffix, *_ in entries:
         h = common(last, suffix, 0)
@@ -235,7 +250,7 @@ def front_code(entries: list[tuple], covers: list[tuple], keys: list[tuple[int,
     return b"".join((
         struct.pack("<IIIII", len(own), len(entries), len(covers), sum(map(len, rests)), sum(len(e[1]) for e in entries)),
         b"".join(keys[d][1] for d in own), np.array([keys[d][0] for d in own], "<i8").tobytes(),
-        bytes(prefixes), bytes(map(len, rests)), bytes(len(e[1]) for e in entries),
+        bytes(prefixes), bytes(map(len, rests)), bytes(len(e[1]) for e in entries), bytes(e[4] for e in entries),
         np.array([local[e[2]] for e in entries], "<u4").tobytes(), np.array([e[3] for e in entries], "<u4").tobytes(),
         np.array([(local[d], a, b) for d, a, b in covers], "<u4").tobytes(),
         b"".join(rests), b"".join(e[1] for e in entries),
@@ -249,8 +264,8 @@ def read_run(blob: bytes):
     at += 16 * n
     ids = np.frombuffer(blob, "<i8", n, at).tolist()
     at += 8 * n
-    prefixes, rests, lefts = (list(blob[at + k * m : at + k * m + m]) for k in range(3))
-    at += 3 * m
+    prefixes, rests, lefts, sides = (list(blob[at + k * m : at + k * m + m]) for k in range(4))
+    at += 4 * m
     docs, where = np.frombuffer(blob, "<u4", m, at).tolist(), np.frombuffer(blob, "<u4", m, at + 4 * m).tolist()
     at += 8 * m
     covers = np.frombuffer(blob, "<u4", 3 * c, at).reshape(c, 3)
@@ -262,83 +277,129 @@ def read_run(blob: bytes):
         left.append(blob[to : to + k])
         at += r
         to += k
-    return [(ids[d], keys[d]) for d in range(n)], strings, prefixes, left, docs, where, covers
-
-
-def _run_blobs(texts: DataFrame, mergers: int) -> DataFrame:
+    return [(ids[d], keys[d]) for d in range(n)], strings, prefixes, left, docs, where, sides, covers
+
+
+class Route:
+    """Which mergers a suffix goes to."""
+
+    def __init__(self, sample: list[bytes], mergers: int) -> None:
+        ranges = min(mergers, RANGES)
+        self.shared = -(-mergers // ranges)
+        ordered = sorted(sample)
+        self.bounds = sorted({ordered[len(ordered) * k // ranges] for k in range(1, ranges)} if ordered else ())
+        self.crowded = {g for g, n in Counter(ordered).items() if n * RANGES > len(ordered) and n > SAMPLE_GRAMS}
+        self.mergers = (len(self.bounds) + 1) * self.shared
+
+    def __call__(self, suffix: bytes, left: bytes) -> list[tuple[int, int]]:
+        """(merger, side): 0 for all windows, 1 or 2 for those that reach far behind or before the gram."""
+        gram = suffix[:GRAM]
+        if gram in self.crowded:
+            return [(zlib.crc32(suffix[: GRAM + HALF]) % self.mergers, 1), (zlib.crc32(left[-HALF:], zlib.crc32(gram)) % self.mergers, 2)]
+        at = bisect.bisect_right(self.bounds, gram) * self.shared
+        return [(at + zlib.crc32(gram) % self.shared if self.shared > 1 else at, 0)]
+
+
+def _sample(keyed: DataFrame, sites: DataFrame) -> list[bytes]:
+    """Grams at sites of some documents, the first by a hash of their keys; bounded by both parameters."""
+    some = sites.orderBy(F.xxhash64("key"), "key").limit(SAMPLE_DOCS)
+    some = some.select(F.col("first").alias("_doc"), F.col("key").alias("_key"), F.col("positions").alias("_at"))
+    step = F.ceil(F.size("_at") / SAMPLE_GRAMS).cast("int")
+    some = some.withColumn("_at", F.filter("_at", lambda x, k: k % step == 0))
+    rows = keyed.join(F.broadcast(some), F.col("doc_id") == F.col("_doc")).filter("key = _key").dropDuplicates(["_key"])
+    raw = F.col("text").cast("binary")
+    grams = rows.select(F.explode(F.transform("_at", lambda p: F.substring(raw, p + 1, F.lit(GRAM)))).alias("gram"))
+    return [bytes(r[0]) for r in grams.collect()]
+
+
+def _run_blobs(texts: DataFrame, route: Route) -> DataFrame:
     """``r, blob``: front-coded sorted runs of the suffixes at the sites."""
     prepare(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(route)  # RANGES grams at most, and as many crowded ones
 
     def run(batches):
         import pyarrow as pa
 
-        held, keys = [], []
+        way, held, keys = shared.value, [], []
 
         def flush():
-            held.sort(key=lambda e: (e[0], e[1], e[2], keys[e[3]], e[4]))
+            held.sort(key=lambda e: (e[0], e[1], e[2], e[3], e[4], keys[e[5]], e[6]))
             rs, blobs, at = [], [], 0
             while at < len(held):
                 r, entries, covers, last = held[at][0], [], [], None
                 while at < len(held) and held[at][0] == r:
-                    _, suffix, left, doc, pos = held[at]
-                    if last is not None and last[0] == suffix and last[1] == left:
+                    _, suffix, left, side, _, doc, pos = held[at]
+                    if last is not None and last[0] == suffix and last[1] == left and last[4] == side:
                         if keys[last[2]] != keys[doc] or last[3] != pos:
                             if len(left) + len(suffix) >= WINDOW:
                                 covers.append((doc, pos - len(left), pos + len(suffix)))
                     else:
-                        last = (suffix, left, doc, pos)
+                        last = (suffix, left, doc, pos, side)
                         entries.append(last)
                     at += 1
                 rs.append(r)
                 blobs.append(front_code(entries, covers, keys))
             held.clear()
-            keys.clear()
             return pa.RecordBatch.from_arrays([pa.array(rs, pa.int32()), pa.array(blobs, pa.binary())], names=["r", "blob"])
 
         for batch in batches:
             for doc_id, key, text, sites in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw, doc = text.encode(), len(keys)
+                raw = text.encode()
                 keys.append((doc_id, key))
                 for p in sorted(sites):
-                    suffix = raw[p : p + WINDOW]
-                    held.append((zlib.crc32(suffix[:GRAM]) % mergers, suffix, raw[max(0, p - SPAN) : p], doc, p))
-            if len(held) >= RUN:
-                yield flush()
+                    suffix, left = raw[p : p + WINDOW], raw[max(0, p - SPAN) : p]
+                    for r, side in way(suffix, left):
+                        held.append((r, suffix, left, side, doc_id, len(keys) - 1, p))
+                    if len(held) >= RUN:  # also within a long text
+                        yield flush()
+                        keys[:] = keys[-1:]
+                if not held:
+                    keys.clear()
         if held:
             yield flush()
 
     return texts.select("doc_id", "key", "text", "positions").mapInArrow(run, "r int, blob binary")
 
 
-def decide(prefix: np.ndarray, lengths: np.ndarray, lefts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _common_heads(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the columns of a byte matrix, read downward, and each one's common head with the one before."""
+    rows, n = grid.shape
+    order = np.argsort(np.ascontiguousarray(grid.T).view(f"S{rows}").ravel(), kind="stable")
+    ordered = grid[:, order]
+    head = np.zeros(n, np.int64)
+    head[1:] = np.logical_and.accumulate(ordered[:, 1:] == ordered[:, :-1], axis=0).sum(0)
+    return order, head
+
+
+def decide(prefix: np.ndarray, lengths: np.ndarray, lefts: list[bytes], rank: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which sorted suffixes are covered, and how far to the left and the right of their anchors.
 
     ``prefix[i]`` is the common prefix of suffixes i - 1 and i; ``rank`` orders the places in the corpus.
+    Left contexts are sorted from the anchor backward, so those that share ``off`` bytes lie together too.
     """
     n = len(lengths)
     width = np.fromiter(map(len, lefts), np.int64, n)
-    grid = np.zeros((SPAN, n), np.uint8)
     flat = np.frombuffer(b"".join(x[::-1].ljust(SPAN, b"\0") for x in lefts), np.uint8)
-    if n:
-        grid[:] = flat.reshape(n, SPAN).T
     before, after = np.full(n, -1), np.full(n, -1)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for off in range(SPAN + 1):
-            if off:
-                h = mix((h ^ (grid[off - 1].astype(np.uint64) + np.uint64(1))) + GOLD)
-            block = np.cumsum(prefix < WINDOW - off)
-            ok = np.nonzero((width >= off) & (lengths >= WINDOW - off))[0]
-            if len(ok) < 2:
-                continue
-            label = mix(h[ok] + block[ok].astype(np.uint64))
-            order = np.lexsort((rank[ok], label))
-            s, r = label[order], rank[ok][order]
-            first = np.concatenate(([True], s[1:] != s[:-1]))
-            lead = r[np.nonzero(first)[0]][np.cumsum(first) - 1]
-            hit = ok[order[r != lead]]
-            before[hit] = off
-            after[hit] = np.where(after[hit] < 0, WINDOW - off, after[hit])
+    if not n:
+        return before >= 0, before, after
+    order, head = _common_heads(flat.reshape(n, SPAN).T)
+    group = np.empty(n, np.int64)
+    for off in range(SPAN + 1):
+        block = np.cumsum(prefix < WINDOW - off)
+        group[order] = np.cumsum(head < off)
+        apart = (sides == 0) | ((sides == 1) & (off <= HALF)) | ((sides == 2) & (off >= HALF))
+        ok = np.nonzero((width >= off) & (lengths >= WINDOW - off) & apart)[0]
+        if len(ok) < 2:
+            continue
+        label = (block[ok] * (n + 1) + group[ok]) * 3 + sides[ok]
+        by = np.lexsort((rank[ok], label))
+        s, r = label[by], rank[ok][by]
+        first = np.concatenate(([True], s[1:] != s[:-1]))
+        lead = r[np.nonzero(first)[0]][np.cumsum(first) - 1]
+        hit = ok[by[r != lead]]
+        before[hit] = off
+        after[hit] = np.where(after[hit] < 0, WINDOW - off, after[hit])
     return before >= 0, before, after
 
 
@@ -347,9 +408,9 @@ def _merge(table):
     import pyarrow as pa
 
     number: dict[tuple[int, bytes], int] = {}
-    runs, lefts, docs, wheres, out = [], [], [], [], []
+    runs, lefts, docs, wheres, sides, out = [], [], [], [], [], []
     for blob in table.column("blob").to_pylist():
-        own, strings, prefixes, left, doc, where, covers = read_run(blob)
+        own, strings, prefixes, left, doc, where, side, covers = read_run(blob)
         own = [number.setdefault(k, len(number)) for k in own]
         out += [(own[d], a, b) for d, a, b in covers.tolist()]
         if strings:
@@ -357,6 +418,7 @@ def _merge(table):
             lefts.append(left)
             docs.append([own[d] for d in doc])
             wheres.append(where)
+            sides.append(side)
     names = list(number)
     if runs:
         merged = merge_runs(runs)
@@ -366,7 +428,7 @@ def _merge(table):
         where = np.array([wheres[r][i] for r, i, _ in merged])
         hit, before, after = decide(
             np.array([h for _, _, h in merged]), np.array([len(runs[r][0][i]) for r, i, _ in merged]),
-            [lefts[r][i] for r, i, _ in merged], (order[doc] << 32) | where,
+            [lefts[r][i] for r, i, _ in merged], (order[doc] << 32) | where, np.array([sides[r][i] for r, i, _ in merged]),
         )
         hit = np.nonzero(hit)[0]
         out += zip(doc[hit].tolist(), (where[hit] - before[hit]).tolist(), (where[hit] + after[hit]).tolist())
@@ -398,23 +460,27 @@ def remove_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
         "owners",
     )
     total = owners.agg(F.coalesce(F.sum(F.col("bytes") * F.col("n")), F.lit(0))).first()[0]
-    mergers = max(8, -(-total // MERGER_BYTES))
-    found = _anchor_blobs(keyed.filter("key is not null"), mergers).groupBy("r").applyInArrow(_twice, "key binary, positions array<int>")
+    mergers, parts = max(8, -(-total // MERGER_BYTES)), max(8, -(-total // JOIN_BYTES))
+    long_texts = keyed.filter("key is not null")
+    found = _anchor_blobs(long_texts, mergers).repartition(mergers, "r").groupBy("r").applyInArrow(_twice, "key binary, positions array<int>")
     sites = found.groupBy("key").agg(F.flatten(F.collect_list("positions")).alias("positions"))
     sites = save(sites.join(owners.select("key", "first"), "key"), "sites")
-    at = keyed.join(sites.withColumnRenamed("first", "doc_id"), ["key", "doc_id"])
-    covers = _run_blobs(at, mergers).groupBy("r").applyInArrow(_merge, "key binary, start int, stop int")
+    route = Route(_sample(long_texts, sites), mergers)
+    at = long_texts.repartition(parts, "key", "doc_id").join(sites.withColumnRenamed("first", "doc_id"), ["key", "doc_id"])
+    covers = _run_blobs(at, route).repartition(route.mergers, "r").groupBy("r").applyInArrow(_merge, "key binary, start int, stop int")
     per = covers.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("stretches"))
-    marks = save(owners.filter("n > 1").select("key", "first").join(per, "key", "full").join(owners.select("key", F.col("first").alias("own")), "key").select("key", F.col("own").alias("first"), "stretches"), "marks")
+    marks = save(owners.select("key", "first").join(per, "key", "left").withColumnRenamed("key", "_key"), "marks")
     drop(sites)
-    joined = keyed.join(marks, "key", "left")
+    # by key and document: the copies of a text do not meet in one task, nor do the texts without a key
+    spread = keyed.withColumn("_id", F.coalesce("doc_id", F.xxhash64("text"))).repartition(parts, "key", "_id")
+    joined = spread.join(marks, (F.col("key") == F.col("_key")) & (F.col("_id") == F.col("first")), "left")
 
     def make():
-        def work(doc_ids, texts, firsts, stretches):
+        def work(keys, texts, firsts, stretches):
             out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-            for doc, text, first, marked in zip(doc_ids, texts, firsts, stretches):
+            for key, text, first, marked in zip(keys, texts, firsts, stretches):
                 raw = text.encode() if text else b""
-                if first is not None and doc != first:
+                if key is not None and first is None:  # a copy: not the document that stands for the text
                     kept, spans = b"", 1
                 elif marked:
                     kept, spans = cut(raw, [(x["start"], x["stop"]) for x in marked])
@@ -429,5 +495,5 @@ def remove_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
 
         return work
 
-    got = extend_batches(joined.select("doc_id", "text", "first", "stretches"), ["doc_id", "text", "first", "stretches"], make, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    got = extend_batches(joined.select("doc_id", "key", "text", "first", "stretches"), ["key", "text", "first", "stretches"], make, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return got.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept_text else []))
