@@ -13,7 +13,7 @@ import pytest
 from harness import compare
 from pyspark.sql import functions as F
 
-from folioframe.llm import bitsliced, decision_list, language_id, line_dedup, minhash, mixing, packing, queries, rule_ensemble, sharding, substrings, textstats
+from folioframe.llm import bitsliced, decision_list, language_id, line_dedup, minhash, mixing, packing, queries, rule_ensemble, runtime, sharding, substrings, textstats
 from folioframe.llm.graph import components
 from folioframe.llm.words import WordHashes, lower_words, shingle_hashes
 
@@ -33,7 +33,7 @@ def odd(spark):
 
 @pytest.fixture(scope="module")
 def odd_clashing(odd):
-    return odd.withColumns({"row": F.lit(1), "key": F.lit("k"), "size": F.lit("x"), "kept": F.lit(None).cast("string"), "shard": F.lit(3), "rank": F.lit(0), "mix_size": F.lit(9), "mix_row": F.lit(1), "_gone": F.lit(1), "_id": F.lit(2), "doc": F.lit(3), "print": F.lit("p")})
+    return odd.withColumns({"row": F.lit(1), "key": F.lit("k"), "size": F.lit("x"), "kept": F.lit(None).cast("string"), "shard": F.lit(3), "rank": F.lit(0), "mix_size": F.lit(9), "mix_row": F.lit(1), "_gone": F.lit(1), "_id": F.lit(2), "doc": F.lit(3), "print": F.lit("p"), "mix_source": F.lit(1), "mix_rate": F.lit(1), "mix_source_size": F.lit(1), "mix_target": F.lit(1), "rate": F.lit(7), "target": F.lit(1), "copies": F.lit(0), "rate_source": F.lit("r"), "draw": F.lit(0), "a.b": F.lit("dot"), "batch": F.lit(1), "part": F.lit(1), "cluster": F.lit(1), "first": F.lit(1), "n_words": F.lit(3)})
 
 
 @pytest.fixture(scope="module")
@@ -116,14 +116,36 @@ def test_near_duplicates_corner_cases(odd_clashing, none):
     assert sorted(r.doc_id for r in minhash.drop_near_duplicates(odd_clashing).collect() if r.doc_id) == [1, 2, 3, 4, 6, 9, 10, 10, 12]
 
 
+def plain_signature(shingles, slots):
+    """SuperMinHash of one set, element by element."""
+    sig = [(slots, 0)] * slots
+    for x in shingles.tolist():
+        perm = list(range(slots))
+        for level in range(slots):
+            with np.errstate(over="ignore"):
+                r = int(minhash.mix(np.array([x], np.uint64) + minhash.GOLD * np.uint64(level + 1))[0])
+            k = level + ((r & 0xFFFFFFFF) * (slots - level) >> 32)
+            perm[level], perm[k] = perm[k], perm[level]
+            sig[perm[level]] = min(sig[perm[level]], (level, r >> 32))
+    return [rank << 32 | fraction for rank, fraction in sig]
+
+
+def test_signatures_are_those_of_the_plain_method():
+    memo, rng = WordHashes(), random.Random(7)
+    sets = [shingle_hashes([f"w{rng.randrange(900)}".encode() for _ in range(n)], 1, memo) for n in (1, 2, 3, 9, 40, 200, 700)]
+    got = minhash.super_minhash(np.concatenate(sets), np.array([len(s) for s in sets]), 96)
+    assert got.tolist() == [plain_signature(s, 96) for s in sets]
+    together = minhash.band_keys([*sets, sets[0][:0]], 12)
+    assert all((minhash.band_keys([s], 12)[0] == together[k]).all() for k, s in enumerate(sets))
+    assert len(set((got[0] >> np.uint64(32)).tolist())) == 96  # one element deals every rank once
+
+
 def test_signature_estimates_similarity():
     memo = WordHashes()
     words = [f"w{i}".encode() for i in range(400)]
     a, b = shingle_hashes(words[:300], 1, memo), shingle_hashes(words[100:], 1, memo)
-    x, y = minhash.super_minhash(a, 256), minhash.super_minhash(b, 256)
+    x, y = minhash.super_minhash(np.concatenate((a, b)), np.array([300, 300]), 256)
     assert abs((x == y).mean() - 0.5) < 0.1
-    one = shingle_hashes([b"a"], 3, memo)
-    assert len(set((minhash.super_minhash(one, 64) >> np.uint64(32)).tolist())) == 64  # one element deals every rank once
 
 
 def test_words_are_split_at_six_characters():
@@ -131,6 +153,13 @@ def test_words_are_split_at_six_characters():
     assert [w.decode() for w in lower_words(text)] == [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
 
 
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HEAVY", 8)
+    edges = [(5, k) for k in range(100, 400)] + [(k, k + 1) for k in range(500, 520)] + [(399, 500)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {5} and len(got) == 322
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
@@ -179,6 +208,32 @@ def test_slot_map_versions(spark, tmp_path):
     assert sharding.SlotMap.load(spark, str(tmp_path / "maps"), 2) == second
 
 
+def test_shard_map_lives_on(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 37).cast("int")).alias("text"))
+    run = lambda d, n: {r.doc_id: (r.shard, r.virtual_slot, r.map_version) for r in sharding.shard(d, n, 256, path).collect()}
+    one = run(docs, 8)
+    assert run(docs, 8) == one and sharding.SlotMap.versions(spark, path) == [1, 2]  # nothing to move, no new version
+    more = run(docs.unionByName(docs.filter("doc_id % 11 = 0").select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text")), 8)
+    a, b = (sharding.SlotMap.load(spark, path, v) for v in (2, 3))
+    moved = {s for s in range(256) if a.shard_of[s] != b.shard_of[s]}
+    assert 0 < len(moved) < 60 and {one[i][1] for i in one if one[i][0] != more[i][0]} <= moved
+    grown = run(docs, 9)
+    assert sharding.SlotMap.versions(spark, path) == [1, 2, 3, 4]
+    assert {grown[i][0] for i in grown if grown[i][0] != more[i][0]} == {8}  # rows move into the new shard alone
+    assert {v for _, _, v in grown.values()} == {4}
+
+
+def test_swaps_are_searched_in_full():
+    rng = random.Random(2)
+    load = {s: rng.randrange(1, 10**6) for s in range(4096)}
+    got = sharding.SlotMap.first(8).rebalanced(load)
+    total = Counter()
+    for s, k in enumerate(got.shard_of):
+        total[k] += load[s]
+    assert max(total.values()) - min(total.values()) < 20
+
+
 def test_sharding_corner_cases(odd_clashing, none):
     got = sharding.shard(odd_clashing, 3).collect()
     assert len(got) == len(ODD) and [r.size for r in got if r.doc_id == 1] == [1]
@@ -250,27 +305,90 @@ def test_rule_ensemble_learns_and_is_sparse():
 
 
 def test_quality_corner_cases(spark, odd_clashing, none):
-    labels = spark.createDataFrame([(4, 1, 0), (9, 0, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(4, 1, 0), (9, 0, 0), (10, 0, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     empty = labels.limit(0)
     for lab in (labels, empty):
         assert decision_list.judge(odd_clashing, lab).count() == len(ODD)
         assert rule_ensemble.score(odd_clashing, rule_ensemble.train(odd_clashing, lab)).filter("score between 0 and 1").count() == len(ODD)
     assert decision_list.judge(none, labels).collect() == []
     kept = decision_list.keep_good(odd_clashing, empty)
-    assert kept.columns == odd_clashing.columns
+    assert kept.columns == odd_clashing.columns and [r["a.b"] for r in kept.collect()] == ["dot"] * kept.count()
+    tripled = odd_clashing.unionByName(odd_clashing).unionByName(odd_clashing)
+    assert len(textstats.labelled_sample(tripled, labels, None, 2)[1]) == 2
+
+
+def test_quality_verdicts_are_those_of_brute_force(spark):
+    """The learned models applied once more in plain Python, over counts made with patterns."""
+    big = "/root/testdata/sf0.01"
+    docs, labels = documents(spark, big), spark.read.parquet(f"{big}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def stats(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n_words, chars, symbols, dup, repeat = brute_counts(t)
+        upper, lower, digits = (len(re.findall(f"[{x}]", t)) for x in ("A-Z", "a-z", "0-9"))
+        lines, over = t.count("\n") + 1, lambda a, b: a / max(b, 1)
+        return {
+            "words": n_words, "mean_word": over(chars, n_words), "symbol_share": over(symbols, n_words), "dup_line_share": over(dup, lines), "repeat_share": over(repeat, n_words),
+            "distinct_share": over(len(set(words)), n_words), "top_word_share": over(max(Counter(words).values(), default=0), n_words), "upper_share": over(upper, upper + lower),
+            "digit_share": over(digits, chars), "stop_share": over(len(re.findall("[.,]", t)), n_words), "mark_share": over(len(re.findall("[!?]", t)), n_words),
+            "words_per_line": over(n_words, lines), "letter_share": over(upper + lower, chars),
+        }
+
+    value = {i: stats(t) for i, t in texts.items()}
+    holds = lambda v, rule: all(v[n] <= x if op == "<=" else v[n] > x for n, op, x in rule)
+    quality = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in value}
+    names = list(textstats.features())
+    known = sorted(quality)
+    x, y = np.array([[value[i][n] for n in names] for i in known], float), np.array([quality[i] for i in known])
+    list_ = decision_list.learn(x, y, names)
+    assert list_.rules
+    for r in queries.op4_quality_rules(spark, big).collect():
+        first = next((n for n, rule in enumerate(list_.rules) if holds(value[r.doc_id], rule)), None)
+        assert r.rule == first and r.kept == (first is None and not r.base_failed)
+    taught = [k for k, i in enumerate(known) if zlib.crc32(str(i).encode()) % 5]
+    model = rule_ensemble.fit(x[taught], y[taught], names)
+    for r in queries.op3_quality_classifier(spark, big).collect():
+        odds = model.bias + sum(w for rule, w in model.rules if holds(value[r.doc_id], rule))
+        assert abs(r.score - 1 / (1 + np.exp(-odds))) < 1e-9 and r.predicted == int(r.score >= 0.3)
 
 
 # --- line dedup -----------------------------------------------------------------------------------------
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_runs_compact(spark):
-    store = line_dedup.LineRuns(spark, fanout=2)
-    for b in range(5):
-        rows = [(bytes([k]) * 16, 10 * b + k) for k in range(b + 1)]
-        store.add(spark.createDataFrame(rows, "key binary, doc_id long"))
-    assert [len(x) for x in store.levels] == [1, 0, 1]
-    got = {bytes(r.key)[0]: r.last_doc for r in store.frequent(3).collect()}
-    assert got == {0: 40, 1: 41, 2: 42}
+    store, rng, n, last = line_dedup.LineRuns(spark), random.Random(6), Counter(), {}
+    for b in range(11):  # 11 batches: runs on the levels 0, 1 and 3
+        rows = {(bytes([rng.randrange(60)]) * 16, 1000 - 10 * b - rng.randrange(10)) for _ in range(40)}
+        for key, doc in rows:
+            n[key] += 1
+            last[key] = max(last.get(key, 0), doc)
+        store.add(spark.createDataFrame(sorted(rows), "key binary, doc_id long"))
+    assert [x is not None for x in store.levels] == [True, True, False, True]
+    with runtime.settings(spark, runtime.SORTED):
+        for df in (store.merged(*store.runs[:2]), store.unseen(store.runs[0].select("key"))):
+            plan = plan_of(df)
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    got = {bytes(r.key): (r.n_docs, r.last_doc) for r in store.frequent(5).collect()}
+    assert got == {k: (n[k], last[k]) for k in n if n[k] >= 5}
+    store.clear()
+    assert store.frequent().collect() == []
+
+
+@pytest.mark.parametrize("batches", [1, 2, 9])
+def test_repeated_lines_do_not_depend_on_the_batches(spark, sf_dir, batches):
+    docs = documents(spark, sf_dir)
+    at = defaultdict(set)
+    for r in docs.collect():
+        for key in {line_dedup.line_key(x) for x in (r.text or "").split("\n")} - {None}:
+            at[key].add(r.doc_id)
+    want = sorted((i, k) for k, ids in at.items() if len(ids) >= 5 for i in ids if i != max(ids))
+    got = line_dedup.repeated_lines(docs.unionByName(docs.limit(50)), batches=batches).collect()
+    assert sorted((r.doc_id, bytes(r.key)) for r in got) == want
 
 
 def test_line_dedup_incremental(spark):
@@ -326,6 +444,40 @@ def test_substrings_corner_cases(spark, odd, none):
     assert substrings.remove_repeats(none).collect() == []
 
 
+@pytest.mark.parametrize("setting", ["plain", "short runs", "shared ranges", "all crowded"])
+def test_substrings_do_not_depend_on_the_deal(spark, monkeypatch, setting):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    common, rows = text(25)[:110], []
+    for i in range(150):
+        rows.append((i, f"{text(rng.randint(5, 60))} {common[rng.randrange(8):]} {text(rng.randint(5, 60))}{'-' * rng.randrange(250)}{text(9)}"))
+    rows += [(200 + i, rows[0][1]) for i in range(40)] + [(300, "z" * 70_000), (301, None), (None, rows[3][1]), (302, "a\0" * 90 + "b"), (303, "c" + "a\0" * 90)]
+    if setting == "short runs":
+        monkeypatch.setattr(substrings, "RUN", 700)
+    if setting == "shared ranges":
+        monkeypatch.setattr(substrings, "RANGES", 3)
+        monkeypatch.setattr(substrings, "MERGER_BYTES", 4000)
+    if setting == "all crowded":
+        plain = substrings.Route.__init__
+
+        def crowded(self, sample, mergers):
+            plain(self, sample, mergers)
+            self.crowded = set(sample)
+
+        monkeypatch.setattr(substrings.Route, "__init__", crowded)
+        monkeypatch.setattr(substrings, "SAMPLE_GRAMS", 1000)
+    got = {r.doc_id: tuple(r) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit(1))).collect()}
+    assert got.pop(None)[2] == 0
+    assert got == brute_cut([r for r in rows if r[0] is not None])
+
+
+def test_substrings_at_larger_size(spark):
+    big = "/root/testdata/sf0.01"
+    want = brute_cut([(r.doc_id, r.text) for r in documents(spark, big).collect()])
+    assert {r.doc_id: tuple(r) for r in queries.op6_suffix_dedup(spark, big).collect()} == want
+
+
 def test_loser_tree_knows_its_prefixes():
     rng = random.Random(9)
     for _ in range(60):
@@ -550,9 +702,9 @@ def test_language_corner_cases(odd, none):
 def test_mixing_targets(spark):
     rows = [(i, "w " * (i % 7 + 1), "en", f"s{i % 5}" if i % 11 else None, 1) for i in range(4000)] + [(9000, "w " * 50, "en", "tiny", 1)]
     got = mixing.mixed(spark.createDataFrame(rows, SCHEMA)).collect()
-    total = sum(r.mix_size for r in got)
-    target = {r.source: r.mix_target for r in got}
-    size = {r.source: r.mix_source_size for r in got}
+    total = sum(r.size for r in got)
+    target = {r.row.source: r.target for r in got}
+    size = {r.row.source: r.source_size for r in got}
     assert abs(sum(target.values()) - total) < 1e-6 * total and all(target[s] <= 3 * size[s] + 1e-6 for s in size)
     names = sorted(s for s in size if s is not None) + [None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
@@ -560,14 +712,25 @@ def test_mixing_targets(spark):
     assert max(free) - min(free) < 1e-6 * max(free)
     assert all(3 * size[s] / weight[s] <= max(free) + 1e-6 for s in names if target[s] >= 3 * size[s] - 1e-6)
     for s in names:
-        taken = sum(r.mix_size * r.mix_copies for r in got if r.source == s)
+        taken = sum(r.size * r.copies for r in got if r.row.source == s)
         assert abs(taken - target[s]) < 0.1 * target[s] + 30
-    assert all(r.mix_copies <= 3 for r in got)
+    assert all(r.copies <= 3 for r in got)
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    rows = [(i, "w " * (i % 13), "en", f"host{i % 700}" if i % 3 else "hot", 1) for i in range(6000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(str, mixing.mixed(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert sorted(map(str, mixing.mixed(docs).collect())) == want and len(want) == 6000
+    rates = mixing.source_rates(docs.select("source", mixing.word_count(F.col("text")).alias("size")))
+    plain = sorted((r.source, r.source_size) for r in rates.collect())
+    assert len(plain) == 701 and abs(sum(r.target for r in rates.collect()) - sum(n for _, n in plain)) < 1e-3
 
 
 def test_mixing_corner_cases(odd_clashing, none):
     got = mixing.mixed(odd_clashing).collect()
-    assert len(got) == len(ODD) and all(r.mix_copies is not None for r in got)
+    assert len(got) == len(ODD) and all(r.copies is not None for r in got)
     out = mixing.emit(odd_clashing)
     assert out.columns == odd_clashing.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.emit(odd_clashing).collect()))
