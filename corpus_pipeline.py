@@ -20,7 +20,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written as Parquet and read again."""
+    """All stages over ``documents``, each result written as Parquet and read again.
+
+    The corner cases are those of ``folioframe.llm.stages``; an empty ``documents`` gives no pieces, and
+    without labels only the base rule rejects.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
