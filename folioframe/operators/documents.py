@@ -118,11 +118,16 @@ def page_profile(pages: DataFrame, blocks: DataFrame, width: float, height: floa
     )
 
 
-def process(words: DataFrame, width: float, height: float, table_words: int = 300) -> dict[str, DataFrame]:
+def process(
+    words: DataFrame, width: float, height: float, table_words: int = 300, drawings: DataFrame | None = None, library: tuple[DataFrame, DataFrame] | None = None
+) -> dict[str, DataFrame]:
     """The document pipeline as one lazy plan: lines, templates, clean words, tables, blocks, chunks.
 
-    Tables are looked for on pages of more than ``table_words`` words. Lines, clean words and blocks
-    feed several outputs and are persisted (spilling to disk); ``release`` frees them.
+    Tables are looked for on pages of more than ``table_words`` words. ``drawings`` are the boxes of drawn
+    lines and ``library`` the zones and rows that a table library found (like those of ``table_zones`` and
+    ``table_rows`` with a ``zone_id``): it has the word on pages with a ruled grid where it found some.
+    Lines, clean words and blocks feed several outputs and are persisted (spilling to disk); ``release``
+    frees them.
     """
     rows = L.lines(words, 35.0, 6.0).persist()
     templates = learn_boilerplate(rows, height)
@@ -133,8 +138,17 @@ def process(words: DataFrame, width: float, height: float, table_words: int = 30
     clean = words.join(boxes, PAGE, "left").filter(~hit).drop("_gone").persist()
     full = Window.partitionBy(*PAGE)
     dense = clean.withColumn("_n", F.count("*").over(full)).filter(F.col("_n") > table_words).drop("_n")
-    zones = L.table_zones(dense, width, height)
-    zone_rows = L.table_rows(L.zone_pages(L.zoned(dense, width, height)))
+    if drawings is not None and library is not None:
+        ruled, pages = L.has_ruled_grid(drawings), dense.select(*PAGE).distinct()
+        own, own_rows = (x.join(pages, PAGE, "left_semi") for x in library)
+        zones = L.detect_tables(dense, ruled, own, width, height)
+        theirs = zones.filter("method = 'ruled'").select(*PAGE).distinct()
+        dense = dense.join(theirs, PAGE, "left_anti")
+        own_rows = L.zone_pages(own_rows.join(theirs, PAGE, "left_semi")).drop("zone_id")
+        zone_rows = L.table_rows(L.zone_pages(L.zoned(dense, width, height))).unionByName(own_rows)
+    else:
+        zones = L.table_zones(dense, width, height)
+        zone_rows = L.table_rows(L.zone_pages(L.zoned(dense, width, height)))
     found = L.table_records(zone_rows)
     records = found.select(F.col("document_id.document_id").alias("document_id"), F.col("document_id.page_number").alias("page_number"), F.col("page_number").alias("zone_id"), *[c for c in found.columns if c not in PAGE])
     blocks = L.reading_order(clean, width, height).persist()

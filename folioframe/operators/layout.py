@@ -44,15 +44,27 @@ def median_height(boxes: DataFrame) -> DataFrame:
 def bucketed(words: DataFrame, tolerance: float) -> DataFrame:
     """Adds ``bucket``: the first earlier bucket whose first word is near in top or middle, else a new one."""
 
-    def step(first: list, t: float, b: float) -> int:
+    def start() -> tuple[dict, list, list]:
+        return {}, [], []
+
+    def step(state: tuple[dict, list, list], t: float, b: float) -> int:
+        known, first, near = state  # equal boxes are in one bucket; near: buckets that words from here on can reach
+        if (got := known.get((t, b))) is not None:
+            return got
         mid = (t + b) / 2
-        for k, (t0, m0) in enumerate(first):
+        if near and t > near[0][1]:
+            near[:] = [x for x in near if t <= x[1]]
+        for k, _, t0, m0 in near if b >= t else first:
             if abs(mid - m0) <= tolerance or abs(t - t0) <= tolerance:
-                return k
-        first.append((t, mid))
-        return len(first) - 1
+                break
+        else:
+            k = len(first)
+            first.append((k, max(t, mid) + tolerance, t, mid))
+            near.append(first[-1])
+        known[t, b] = k
+        return k
 
-    return running_fold(words, PAGE, ["t", "l", "word_no"], ["t", "b"], list, step, "bucket")
+    return running_fold(words, PAGE, ["t", "l", "word_no"], ["t", "b"], start, step, "bucket")
 
 
 def lines(words: DataFrame, max_gap: float | None = None, tolerance: float = 5.0) -> DataFrame:
@@ -114,15 +126,25 @@ def interval_gaps(boxes: DataFrame, keys: list[str], slack: float, least: Column
 
 
 def columns(banded: DataFrame, width: float, least: float | None = None) -> DataFrame:
-    """Adds ``column``: dense number of the gutters left of a line's middle, within its band."""
-    keys = [*PAGE, "band"]
-    narrow = banded.filter(F.col("r") - F.col("l") < 0.65 * width)
-    gaps = interval_gaps(narrow, keys, 5.0, F.lit(GUTTER * width if least is None else least))
-    gutters = gaps.groupBy(*keys).agg(F.collect_list((F.col("gap_l") + F.col("gap_r")) / 2).alias("gutters"))
+    """Adds ``column``: dense number of the gutters left of a line's middle, within its band.
+
+    Lines marked ``is_band_heading`` make no gutter and are in column 0. Gutters are the gaps of
+    ``interval_gaps`` over narrow lines, found by windows on the rows themselves, so nothing is joined.
+    """
+    if "is_band_heading" not in banded.columns:
+        return columns(banded.withColumn("is_band_heading", F.lit(False)), width, least).drop("is_band_heading")
+    keys, head = [*PAGE, "band"], F.col("is_band_heading")
+    narrow = ~head & (F.col("r") - F.col("l") < 0.65 * width)
+    earlier = Window.partitionBy(*keys).orderBy("l", "r").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(narrow, F.col("r"))).over(earlier)
+    gap = F.col("l") - F.col("_reach")
+    found = narrow & (gap > 5.0) & (gap >= (GUTTER * width if least is None else least))
+    gutter = F.when(found, (F.col("_reach") + F.col("l")) / 2)
     mid = (F.col("l") + F.col("r")) / 2
-    left = F.size(F.filter(F.coalesce("gutters", F.array().cast("array<double>")), lambda g: g < mid))
-    placed = banded.join(gutters, keys, "left").withColumn("_left", left).drop("gutters")
-    return placed.withColumn("column", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_left")) - 1).drop("_left")
+    placed = banded.withColumn("_reach", reach).withColumn("_gutters", F.collect_list(gutter).over(Window.partitionBy(*keys)))
+    placed = placed.withColumn("_left", F.size(F.filter("_gutters", lambda g: g < mid)))
+    nth = F.dense_rank().over(Window.partitionBy(*keys, "is_band_heading").orderBy("_left")) - 1
+    return placed.withColumn("column", F.when(head, 0).otherwise(nth)).drop("_reach", "_gutters", "_left")
 
 
 def reading_order(words: DataFrame, width: float, height: float, primary: str | None = None, secondary: tuple[str, ...] = ()) -> DataFrame:
@@ -133,9 +155,7 @@ def reading_order(words: DataFrame, width: float, height: float, primary: str |
     b = bands(lines(words), width, height)
     first = Window.partitionBy(*PAGE, "band", "text").orderBy("line_no")
     b = b.withColumn("is_band_heading", F.col("heading").isNotNull() & (F.col("text") == F.col("heading")) & (F.row_number().over(first) == 1))
-    body = columns(b.filter(~F.col("is_band_heading")), width)
-    head = b.filter("is_band_heading").withColumn("column", F.lit(0))
-    every = head.unionByName(body).withColumn("_order", F.when(F.col("is_band_heading"), 0).otherwise(1))
+    every = columns(b, width).withColumn("_order", F.when(F.col("is_band_heading"), 0).otherwise(1))
     down = Window.partitionBy(*PAGE, "band", "_order", "column").orderBy("t", "l", "line_no")
     is_primary = ~F.col("is_band_heading") & (F.col("text").rlike(primary) if primary else F.lit(False))
     is_secondary = ~F.col("is_band_heading") & ~is_primary & (F.col("text").isin(*secondary) if secondary else F.lit(False))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as T
 from folioframe.operators import retrieval as R
 from folioframe.shipping import ship
+from folioframe.storage import save
 
 NO_EVIDENCE = "Insufficient evidence in authorized documents to answer this question."
 DIMENSION = 64
@@ -134,9 +135,8 @@ def retrieve_evidence(sub_queries: DataFrame, chunks: DataFrame, pool: int = 10,
     keys = ("question_id", "sq")
     near = R.dense_many(chunks, sub_queries, keys, pool)
     dense = near.join(chunks.drop("embedding"), "chunk_id")
-    best = R.hybrid(dense.select(*keys, "chunk_id", "text", "dense_rank"), sub_queries.select(*keys, "query"), fused, keys)
-    rows = dense.select(*keys, "chunk_id", "document_id", "page_number", "text")
-    found = best.join(rows, [*keys, "chunk_id"])
+    best = R.hybrid(dense, sub_queries.select(*keys, "query"), fused, keys, carry=("document_id", "page_number"))
+    found = best.join(chunks.select("chunk_id", "text"), "chunk_id")
     first = Window.partitionBy("question_id", "chunk_id").orderBy("sq", "rank")
     found = found.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
     order = Window.partitionBy("question_id").orderBy("sq", "rank", "chunk_id")
@@ -160,13 +160,13 @@ def agent(questions: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFr
     planned = plan_queries(questions).join(vectors, "question_id")
 
     def attempt(sub: DataFrame, asked: DataFrame, pool: int) -> DataFrame:
-        evidence = retrieve_evidence(sub, chunks, pool).persist()  # a few rows a question, used twice
+        evidence = save(retrieve_evidence(sub, chunks, pool), "evidence")  # a few rows a question, used twice
         answers = extractive_answers(asked, evidence)
         cited = evidence.select(F.col("question_id").alias("answer_id"), F.col("document_id").cast("string").alias("document_id"), F.col("document_id").cast("string").alias("filename"), "page_number")
         verdict = R.verify_citations(answers.select(F.col("question_id").alias("answer_id"), "answer"), cited)
         return answers.join(verdict.withColumnRenamed("answer_id", "question_id"), "question_id")
 
-    first = attempt(planned, questions, 10).persist()
+    first = save(attempt(planned, questions, 10), "answers")
     again = first.filter("recommend_retry").select("question_id")
     done = first.filter("not recommend_retry").withColumn("retries", F.lit(0))
     if not again.isEmpty():

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
 from folioframe.shipping import ship
+from folioframe.storage import save
 
 RRF_K = 60
 K1, B = 1.5, 0.75
@@ -59,111 +60,135 @@ def dense_top_k(chunks: DataFrame, vector: DataFrame, k: int, threshold: float =
     return top.withColumn("dense_rank", F.row_number().over(order))
 
 
-#: Query vectors that one pass over the chunks scores; they are broadcast (8 bytes a component).
-QUERY_BLOCK = 4096
+#: Query vectors, and chunk vectors, that meet in one matrix product.
+QUERY_BLOCK = 512
+CHUNK_BLOCK = 8192
 
 
 def dense_many(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...], k: int) -> DataFrame:
     """The k nearest chunks of every query: ``*keys, chunk_id, dense_score, dense_rank``.
 
-    chunks(chunk_id, embedding), queries(*keys, query_vector). A pass multiplies Arrow batches of chunks
-    with a block of at most ``QUERY_BLOCK`` queries and sends k rows a query and batch on to the ranking;
-    more queries take more passes in the same plan.
+    chunks(chunk_id, embedding), queries(*keys, query_vector). Both sides are packed into blocks of rows
+    where they lie; every block of queries meets every block of chunks in one matrix product, and k rows a
+    query and block go on to the ranking. Nothing is collected, and a task holds one block of each side.
     """
-    rows = queries.select(*keys, "query_vector").collect()
-    out = None
-    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        part = _nearest(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding"), [r["query_vector"] for r in block], k)
-        names = chunks.sparkSession.createDataFrame([(n, *(r[c] for c in keys)) for n, r in enumerate(block)], "_q int, " + ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys))
-        part = part.join(F.broadcast(names), "_q").select(*keys, "chunk_id", "dense_score")
-        out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy(*keys).orderBy(F.desc("dense_score"), "chunk_id")
-    return out.withColumn("dense_rank", F.row_number().over(order)).filter(F.col("dense_rank") <= k)
+    asked = _packed(queries.select(*keys, "query_vector"), QUERY_BLOCK, "query")
+    known = _packed(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding"), CHUNK_BLOCK, "known")
+    pairs = known.hint("shuffle_replicate_nl").crossJoin(asked)
+    names = queries.select(*keys).schema
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def _nearest(chunks: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
+        def unit(v):
+            v = np.array(v.to_pylist(), float)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
-    ship(chunks.sparkSession)
+        held = None
+        for b in batches:
+            for blob, query in zip(*(b.column(c).to_pylist() for c in range(2))):
+                if held is None or held[0] != blob:
+                    rows = pa.ipc.open_stream(blob).read_all()
+                    held = blob, rows.column("chunk_id").to_numpy(), unit(rows.column("embedding"))
+                q = pa.ipc.open_stream(query).read_all().combine_chunks()
+                scores = np.round(unit(q.column("query_vector")) @ held[2].T, 9) + 0.0
+                best = [np.lexsort((held[1], -row))[:k] for row in scores]
+                of, at = np.repeat(np.arange(len(best)), [len(x) for x in best]), np.concatenate(best)
+                out = q.select(list(keys)).take(pa.array(of)).append_column("chunk_id", pa.array(held[1][at])).append_column("dense_score", pa.array(scores[of, at]))
+                yield from out.combine_chunks().to_batches()
+
+    found = pairs.mapInArrow(run, names.add("chunk_id", "long").add("dense_score", "double"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("dense_score"), "chunk_id")
+    return found.withColumn("dense_rank", F.row_number().over(order)).filter(F.col("dense_rank") <= k)
 
-    def unit(v: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
-    asked = unit(np.array(vectors, float)) if vectors else np.zeros((0, 1))
+def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """The rows of each partition in blocks of at most ``size``, each as one Arrow stream in a cell."""
+    ship(rows.sparkSession)
 
     def run(batches):
+        import pyarrow as pa
+
+        def cell(table):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[name])
+
+        held, n = [], 0
         for b in batches:
-            if not b.num_rows or not len(asked):
-                continue
-            ids = np.array(b.column(0).to_pylist(), np.int64)
-            v = unit(np.array(b.column(1).to_pylist(), float))
-            scores = np.round(asked @ v.T, 9) + 0.0
-            for q, row in enumerate(scores):
-                best = np.lexsort((ids, -row))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q, np.int32)), pa.array(ids[best]), pa.array(row[best])], names=["_q", "chunk_id", "dense_score"])
+            held.append(b)
+            n += b.num_rows
+            while n >= size:
+                table = pa.Table.from_batches(held)
+                yield cell(table.slice(0, size))
+                held, n = table.slice(size).to_batches(), n - size
+        if n:
+            yield cell(pa.Table.from_batches(held))
 
-    return chunks.mapInArrow(run, "_q int, chunk_id long, dense_score double")
+    return rows.mapInArrow(run, f"{name} binary")
 
 
 def bm25_tf(pool: DataFrame, query: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Term-frequency BM25 without document frequencies, average length over the pool.
 
-    pool(*keys, chunk_id, text), query(*keys, query). Query tokens that occur twice count twice. With
-    ``keys`` there is one pool per key.
+    pool(*keys, chunk_id, text, ...), query(*keys, query). Query tokens that occur twice count twice. With
+    ``keys`` there is one pool per key. Gives the pool without its text, and ``keyword_score``; the rows are
+    scored where they are counted, so the scan behind a pool runs once.
     """
-    asked = query.select(*keys, F.explode(T.tokens(F.col("query"))).alias("token"))
-    counted = pool.withColumn("tokens", T.tokens(F.col("text")))
-    per = Window.partitionBy(*keys)
-    sized = counted.select(*keys, "chunk_id", "tokens", F.size("tokens").alias("len")).withColumn("avg_len", F.avg("len").over(per))
-    tf = sized.select(*keys, "chunk_id", "len", "avg_len", F.explode("tokens").alias("token")).groupBy(*keys, "chunk_id", "len", "avg_len", "token").agg(F.count("*").alias("tf"))
-    hits = tf.join(F.broadcast(asked.groupBy(*keys, "token").agg(F.count("*").alias("qf"))), [*keys, "token"])
+    asked = query.select(*keys, F.explode(T.tokens(F.col("query"))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("qf"))
+    kept = [c for c in pool.columns if c not in (*keys, "chunk_id", "text")]
+    sized = pool.select(*keys, "chunk_id", F.struct(F.lit(0).alias("_"), *kept).alias("row"), T.tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens"))
+    sized = sized.withColumn("avg_len", F.avg("len").over(Window.partitionBy(*keys)))
+    tf = sized.select(*keys, "chunk_id", "row", "len", "avg_len", F.explode_outer("tokens").alias("token")).groupBy(*keys, "chunk_id", "token").agg(F.count("token").alias("tf"), *(F.first(c).alias(c) for c in ("row", "len", "avg_len")))
+    hits = tf.join(asked, [*keys, "token"], "left")
     part = F.col("qf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scores = hits.groupBy(*keys, "chunk_id").agg(F.round(F.sum(part), 9).alias("keyword_score"))
-    return pool.join(scores, [*keys, "chunk_id"], "left").fillna({"keyword_score": 0.0})
+    scored = hits.groupBy(*keys, "chunk_id").agg(F.first("row").alias("row"), F.round(F.coalesce(F.sum(part), F.lit(0.0)), 9).alias("keyword_score"))
+    return scored.select(*keys, "chunk_id", *(F.col(f"row.{c}").alias(c) for c in kept), "keyword_score")
 
 
-def rrf(ranked: DataFrame, keys: tuple[str, ...] = (), k: int = RRF_K) -> DataFrame:
-    """ranked(*keys, chunk_id, list_no, rank) -> fused score and rank; ties in first-seen order."""
+def rrf(ranked: DataFrame, keys: tuple[str, ...] = (), k: int = RRF_K, carry: tuple[str, ...] = ()) -> DataFrame:
+    """ranked(*keys, chunk_id, list_no, rank) -> fused score and rank; ties in first-seen order.
+
+    ``carry`` names columns of a chunk that come along.
+    """
     seen = F.min(F.struct("list_no", "rank"))
-    fused = ranked.groupBy(*keys, "chunk_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"), seen.alias("seen"))
+    fused = ranked.groupBy(*keys, "chunk_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"), seen.alias("seen"), *(F.first(c).alias(c) for c in carry))
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "seen")
     return fused.withColumn("rank", F.row_number().over(order)).drop("seen")
 
 
-def hybrid(pool: DataFrame, query: DataFrame, top_n: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Fuses the dense order of a (small) pool with its lexical order; pool has ``dense_rank``.
-
-    The pool, a few rows a query, is kept so that the scan behind it runs once.
-    """
-    pool = pool.persist()
-    scored = bm25_tf(pool, query, keys)
+def hybrid(pool: DataFrame, query: DataFrame, top_n: int, keys: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Fuses the dense order of a (small) pool with its lexical order; pool has ``dense_rank``."""
+    scored = bm25_tf(pool.select(*keys, "chunk_id", "text", "dense_rank", *carry), query, keys)
     order = Window.partitionBy(*keys).orderBy(F.desc("keyword_score"), "dense_rank")
     lists = scored.withColumn("keyword_rank", F.row_number().over(order))
-    ranked = lists.select(*keys, "chunk_id", F.explode(F.array(F.struct(F.lit(0).alias("list_no"), F.col("dense_rank").alias("rank")), F.struct(F.lit(1).alias("list_no"), F.col("keyword_rank").alias("rank")))).alias("x")).select(*keys, "chunk_id", "x.*")
-    return rrf(ranked, keys).filter(F.col("rank") <= top_n)
+    both = F.array(F.struct(F.lit(0).alias("list_no"), F.col("dense_rank").alias("rank")), F.struct(F.lit(1).alias("list_no"), F.col("keyword_rank").alias("rank")))
+    ranked = lists.select(*keys, "chunk_id", *carry, F.explode(both).alias("x")).select(*keys, "chunk_id", *carry, "x.*")
+    return rrf(ranked, keys, carry=carry).filter(F.col("rank") <= top_n)
 
 
 def retrieve(chunks: DataFrame, vector: DataFrame, query: DataFrame, ids: DataFrame, pool: int = 20, top_k: int = 6) -> DataFrame:
     """The flagship: access -> dense pool -> lexical rank -> fusion -> the first ``top_k``."""
-    dense = dense_top_k(chunks, vector, pool, ids=ids).persist()
-    fused = hybrid(dense, query, max(top_k, 10))
-    rows = dense.select("chunk_id", "document_id")
-    return fused.filter(F.col("rank") <= top_k).join(rows, "chunk_id")
+    dense = dense_top_k(chunks, vector, pool, ids=ids)
+    return hybrid(dense, query, max(top_k, 10), carry=("document_id",)).filter(F.col("rank") <= top_k)
 
 
 def true_bm25(chunks: DataFrame, query: DataFrame) -> DataFrame:
     """BM25 over the whole corpus with document frequencies; only query tokens are shuffled.
 
-    Their counts feed both the frequencies and the scores and are persisted, so texts are read for them once.
+    Their counts feed both the frequencies and the scores, so they are stored once in the shared folder;
+    lengths of all chunks come from the same pass (a chunk without query tokens has a row without one).
     """
-    asked = F.broadcast(query.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("token")))
-    sized = chunks.select("chunk_id", T.tokens(F.col("text")).alias("tokens"))
-    total = sized.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    wanted = asked.select("token").distinct()
-    tf = sized.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).join(F.broadcast(wanted), "token").groupBy("chunk_id", "len", "token").agg(F.count("*").alias("tf")).persist()
+    asked = query.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("token"))
+    wanted = asked.select("token").distinct().withColumn("asked", F.lit(True))
+    sized = chunks.select("chunk_id", T.tokens(F.col("text")).alias("tokens")).select("chunk_id", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("token"))
+    tf = sized.join(wanted, "token", "left").withColumn("token", F.when(F.col("asked"), F.col("token")))
+    tf = save(tf.groupBy("chunk_id", "len", "token").agg(F.count("*").alias("tf")), "bm25")
+    total = tf.select("chunk_id", "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    tf = tf.filter("token is not null")
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(total)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     hits = tf.join(idf, "token").join(asked, "token")
@@ -209,6 +234,28 @@ def evidence_context(evidence: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
     return evidence.groupBy(*keys).agg(F.array_join(F.transform(blocks, lambda x: x["block"]), "\n\n---\n\n").alias("context"))
 
 
+#: Query tokens that are looked for in a figure's text at a time.
+TOKEN_BLOCK = 512
+
+
+def _manifest_pairs(manifest: DataFrame, asked: DataFrame, seen: DataFrame) -> DataFrame:
+    """Figures with the queries that they share a page or a token with, and the number of such tokens.
+
+    Only these can have a score, beside the pairs that are ``seen`` as evidence. Distinct tokens of all queries are looked for in blocks, one pass over a
+    figure's text for each block, and the hits meet the queries by token; pairs by page meet by page.
+    """
+    word = asked.select(F.explode("tokens").alias("token")).distinct()
+    blocks = word.groupBy(F.pmod(F.xxhash64("token"), F.ceil(F.lit(word.count() / TOKEN_BLOCK) + 1).cast("int"))).agg(F.collect_list("token").alias("block")).select("block")
+    rows = manifest.withColumn("_row", F.struct("figure_id", "document_id", "page_number"))
+    hits = rows.crossJoin(blocks).select("_row", F.explode(F.filter("block", lambda t: F.col("full_text").contains(t))).alias("token"))
+    queries = asked.select("query_id", "visual", "target", F.explode("tokens").alias("token"))
+    shared = hits.join(queries, "token").select("_row", "query_id", "visual", "target", F.lit(1).alias("n"))
+    paged = rows.join(asked, rows["page_number"] == asked["target"]).select("_row", "query_id", "visual", "target", F.lit(0).alias("n"))
+    shown = rows.join(seen, ["figure_id", "document_id"]).join(asked, "query_id").select("_row", "query_id", "visual", "target", F.lit(0).alias("n"))
+    met = shared.unionByName(paged).unionByName(shown).groupBy("_row", "query_id", "visual", "target").agg(F.sum("n").alias("n_tokens"))
+    return met.select("query_id", "visual", "target", "n_tokens", "_row.*")
+
+
 def figures(manifest: DataFrame, evidence: DataFrame, query: DataFrame, top_k: int = 3) -> DataFrame:
     """Figures for each query(query_id, query).
 
@@ -224,8 +271,8 @@ def figures(manifest: DataFrame, evidence: DataFrame, query: DataFrame, top_k: i
     seen = evidence.join(asked, "query_id").select("query_id", "figure_id", "document_id", F.col("page_number").alias("seen_page"), F.col("visual").alias("seen_visual"), (50.0 - 3.0 * F.col("idx") + 20.0 * F.col("score") + bonus).alias("evidence_score"), "idx")
     text = F.lower(F.concat_ws(" ", F.coalesce("caption", F.lit("")), F.array_join(F.coalesce("nearby_labels", F.array().cast("array<string>")), " "), "filename"))
     page = F.when(F.col("target").isNull(), 0.0).when(F.col("page_number") == F.col("target"), 120.0).otherwise(-50.0)
-    words = F.size(F.filter("tokens", lambda t: F.col("full_text").contains(t)))
-    known = manifest.withColumn("full_text", text).crossJoin(F.broadcast(asked)).select("query_id", "figure_id", "document_id", "page_number", "visual", (page + 15.0 * words).alias("manifest_score"))
+    known = _manifest_pairs(manifest.withColumn("full_text", text), asked, evidence.select("query_id", "figure_id", "document_id").distinct())
+    known = known.select("query_id", "figure_id", "document_id", "page_number", "visual", (page + 15.0 * F.col("n_tokens")).alias("manifest_score"))
     both = seen.join(known, ["query_id", "figure_id", "document_id"], "full").select(
         "query_id", "figure_id", "document_id", F.coalesce("seen_page", "page_number").alias("page_number"),
         F.coalesce("seen_visual", "visual").alias("visual"), "idx",

@@ -35,13 +35,13 @@ ASCII = r"plain AS (SELECT id, regexp_replace(truth, '[^\x00-\x7F]', '?', 'g') A
 CLEAN = collapse(r"regexp_replace(regexp_replace(line, '^[\s•●⁃·\x{95}\-*]+', ''), '[\s•●⁃·\x{95}\-*]+$', '')")
 
 
-@query(
-    "evl01_aligned_cer",
-    f"""WITH {PAIRS}, {ASCII}, a AS (SELECT id, no, {CLEAN} AS line FROM (SELECT id, generate_subscripts(p, 1) AS no, unnest(p) AS line FROM (SELECT id, string_split(truth, chr(10)) AS p FROM plain))),
+ALIGNED = f"""WITH {PAIRS}, {ASCII}, a AS (SELECT id, no, {CLEAN} AS line FROM (SELECT id, generate_subscripts(p, 1) AS no, unnest(p) AS line FROM (SELECT id, string_split(truth, chr(10)) AS p FROM plain))),
   b AS (SELECT id, lower({CLEAN}) AS line FROM (SELECT id, unnest(string_split(found, chr(10))) AS line FROM plain)),
   d AS (SELECT a.id, a.no, length(a.line) AS n, min(levenshtein(lower(a.line), b.line)) AS d FROM a LEFT JOIN (SELECT DISTINCT * FROM b WHERE length(line) > 3) b ON a.id = b.id AND abs(length(a.line) - length(b.line)) < length(a.line) WHERE length(a.line) > 3 GROUP BY a.id, a.no, a.line)
-SELECT id, CAST(sum(least(n, coalesce(d, n))) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS chars, round(CAST(sum(least(n, coalesce(d, n))) AS DOUBLE) / sum(n), 6) AS cer FROM d GROUP BY id""",
-)
+SELECT id, CAST(sum(least(n, coalesce(d, n))) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS chars, round(CAST(sum(least(n, coalesce(d, n))) AS DOUBLE) / sum(n), 6) AS cer FROM d GROUP BY id"""
+
+
+@query("evl01_aligned_cer", ALIGNED)
 def aligned_cer(spark, sf_dir):
     return E.aligned_cer(ascii_pairs(spark, sf_dir), "id")
 
@@ -96,12 +96,13 @@ def set_recall(spark, sf_dir):
 
 @query(
     "evl05_page_report",
-    f"""WITH f AS ({F1}), m AS (SELECT CAST(id % 12 AS BIGINT) AS page, round(1 - precision, 6) AS cer, recall FROM f),
+    f"""WITH f AS ({F1}), c AS ({ALIGNED}), m AS (SELECT CAST(id % 12 AS BIGINT) AS page, cer, recall FROM f JOIN c USING (id)),
   r AS (SELECT page, round(avg(cer), 9) AS cer, round(avg(recall), 9) AS recall FROM m GROUP BY ROLLUP (page))
 SELECT page, cer, recall, cer <= 0.05 AND recall >= 0.95 AS passes FROM r""",
 )
 def page_report(spark, sf_dir):
-    f = E.token_f1(pairs(spark, sf_dir), "id").select((F.col("id") % 12).alias("page"), F.round(1 - F.col("precision"), 6).alias("cer"), "recall")
+    errors = E.aligned_cer(ascii_pairs(spark, sf_dir), "id").select("id", "cer")
+    f = E.token_f1(pairs(spark, sf_dir), "id").join(errors, "id").select((F.col("id") % 12).alias("page"), "cer", "recall")
     return E.page_report(f, "page")
 
 

@@ -1,7 +1,9 @@
 """Layout, table, figure and chunk queries.
 
 Word boxes are laid out from the documents' words: 12 to a row in three groups of four, 50 rows to a
-page. Figures and rectangles come from lineitem, a page for every order.
+page, with tops and heights that differ a little within a row. ``slanted`` words differ so much that rows
+run into each other, and only the baseline rule tells which belong together. Figures and rectangles come
+from lineitem, a page for every order.
 """
 
 from __future__ import annotations
@@ -23,15 +25,20 @@ def words(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split(T.strip(F.col("text")), r"\s+")).alias("word_no", "text"))
     row, j = F.floor(F.col("word_no") / 12), F.col("word_no") % 12
     left = (220 * F.floor(j / 4) + 45 * (j % 4)).cast("double")
-    top = (40 + 14 * (row % 50) + j % 2).cast("double")
+    top = (40 + 14 * (row % 50) + F.col("word_no") * 5 % 3).cast("double")
     d = d.select("document_id", (F.floor(row / 50) + 1).cast("int").alias("page_number"), F.col("word_no").cast("long").alias("word_no"), "text", left.alias("l"), top.alias("t"))
-    return d.withColumns({"r": F.col("l") + F.least(4 * F.length("text"), F.lit(44)), "b": F.col("t") + 10})
+    return d.withColumns({"r": F.col("l") + F.least(4 * F.length("text"), F.lit(44)), "b": F.col("t") + 9 + F.col("word_no") * 7 % 5})
+
+
+def slanted(spark, sf_dir):
+    n = F.col("word_no")
+    return words(spark, sf_dir).withColumns({"t": F.col("t") + n * 11 % 9}).withColumn("b", F.col("t") + 6 + n * 3 % 11)
 
 
 WORDS = rf"""raw AS (SELECT doc_id AS document_id, generate_subscripts(p, 1) - 1 AS word_no, unnest(p) AS text FROM (SELECT doc_id, regexp_split_to_array({trim("text")}, '\s+') AS p FROM documents)),
   words AS (SELECT document_id, CAST(word_no // 12 // 50 + 1 AS INTEGER) AS page_number, CAST(word_no AS BIGINT) AS word_no, text, CAST(220 * (word_no % 12 // 4) + 45 * (word_no % 4) AS DOUBLE) AS l,
-    CAST(40 + 14 * (word_no // 12 % 50) + word_no % 12 % 2 AS DOUBLE) AS t, CAST(220 * (word_no % 12 // 4) + 45 * (word_no % 4) + least(4 * length(text), 44) AS DOUBLE) AS r,
-    CAST(50 + 14 * (word_no // 12 % 50) + word_no % 12 % 2 AS DOUBLE) AS b, word_no // 12 AS row FROM raw)"""
+    CAST(40 + 14 * (word_no // 12 % 50) + word_no * 5 % 3 AS DOUBLE) AS t, CAST(220 * (word_no % 12 // 4) + 45 * (word_no % 4) + least(4 * length(text), 44) AS DOUBLE) AS r,
+    CAST(49 + 14 * (word_no // 12 % 50) + word_no * 5 % 3 + word_no * 7 % 5 AS DOUBLE) AS b, word_no // 12 AS row FROM raw)"""
 
 
 @query("geo_word_boxes", f"WITH {WORDS} SELECT document_id, page_number, count(*) AS n, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, sum(r - l) AS inked FROM words GROUP BY ALL")
@@ -45,15 +52,35 @@ def median_line_height(spark, sf_dir):
     return L.median_height(words(spark, sf_dir))
 
 
-def fragments(name: str, source: str, gap: float, keys: str = "document_id, page_number") -> str:
+@query(
+    "geo02_baseline_buckets",
+    f"""WITH RECURSIVE {WORDS}, s AS (SELECT document_id, page_number, word_no, l, t + word_no * 11 % 9 AS t, t + word_no * 11 % 9 + 6 + word_no * 3 % 11 AS b FROM words),
+  u AS (SELECT document_id, page_number, t, b, row_number() OVER (PARTITION BY document_id, page_number ORDER BY t, earliest) AS i
+    FROM (SELECT document_id, page_number, t, b, min({{'l': l, 'n': word_no}}) AS earliest FROM s GROUP BY ALL)),
+  f AS (SELECT document_id, page_number, i, [{{'t': t, 'm': (t + b) / 2}}] AS firsts, 0 AS bucket FROM u WHERE i = 1
+    UNION ALL SELECT u.document_id, u.page_number, u.i, CASE WHEN len(list_filter(firsts, lambda x: abs((u.t + u.b) / 2 - x.m) <= 5 OR abs(u.t - x.t) <= 5)) > 0 THEN firsts ELSE list_append(firsts, {{'t': u.t, 'm': (u.t + u.b) / 2}}) END,
+      CASE WHEN len(list_filter(firsts, lambda x: abs((u.t + u.b) / 2 - x.m) <= 5 OR abs(u.t - x.t) <= 5)) > 0 THEN list_position(list_transform(firsts, lambda x: abs((u.t + u.b) / 2 - x.m) <= 5 OR abs(u.t - x.t) <= 5), true) - 1 ELSE len(firsts) END
+    FROM f JOIN u ON u.document_id = f.document_id AND u.page_number = f.page_number AND u.i = f.i + 1)
+SELECT s.document_id, s.page_number, s.word_no, CAST(f.bucket AS BIGINT) AS bucket FROM s JOIN u ON s.document_id = u.document_id AND s.page_number = u.page_number AND s.t = u.t AND s.b = u.b
+  JOIN f ON f.document_id = u.document_id AND f.page_number = u.page_number AND f.i = u.i""",
+)
+def baseline_buckets(spark, sf_dir):
+    """Equal boxes share a bucket, so the SQL replays the rule over each page's distinct boxes."""
+    return L.bucketed(slanted(spark, sf_dir), 5.0).select(*L.PAGE, "word_no", "bucket")
+
+
+MEDIAN_GAP = "2.5 * most"
+
+
+def fragments(name: str, source: str, gap: float | str, keys: str = "document_id, page_number") -> str:
     """SQL for the line fragments of ``source``: rows of words, cut at gaps."""
-    return f"""{name}_gap AS (SELECT *, l - lag(r) OVER (PARTITION BY {keys}, row ORDER BY l) AS gap FROM {source}),
+    return f"""{name}_gap AS (SELECT *, l - lag(r) OVER (PARTITION BY {keys}, row ORDER BY l) AS gap, coalesce(median(CASE WHEN b - t > 2 THEN b - t END) OVER (PARTITION BY {keys}), 10.0) AS most FROM {source}),
   {name}_frag AS (SELECT *, sum(CASE WHEN gap >= 0 AND gap <= {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY {keys}, row ORDER BY l) AS f FROM {name}_gap),
   {name}_line AS (SELECT {keys}, row, f, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, count(*) AS n_words, {collapse("string_agg(text, ' ' ORDER BY l)")} AS text FROM {name}_frag GROUP BY ALL),
   {name} AS (SELECT {keys}, l, t, r, b, n_words, text, row_number() OVER (PARTITION BY {keys} ORDER BY t, l, row, f) AS line_no FROM {name}_line)"""
 
 
-FRAGMENTS = fragments("lines", "words", 25)
+FRAGMENTS = fragments("lines", "words", MEDIAN_GAP)
 
 
 @query("geo04_line_fragments", f"WITH {WORDS}, {FRAGMENTS} SELECT * FROM lines")
@@ -191,7 +218,22 @@ def iou_dedupe(spark, sf_dir):
     return kept.select("page_number", "x.figure_no")
 
 
-@query("geo19_crop_trim")
+ACTS = "w.l < f.r AND w.r > f.l AND w.t < f.b AND w.b > f.t AND NOT (w.l >= f.l AND w.r <= f.r AND w.t >= f.t AND w.b <= f.b)"
+TRIM_L = f"CASE WHEN {ACTS} AND w.l < f.l AND f.l < w.r AND w.r + 1 < f.r - 25 THEN w.r + 1 ELSE f.l END"
+TRIM_T = f"CASE WHEN {ACTS} AND w.t < f.t AND f.t < w.b AND w.b + 1 < f.b - 25 THEN w.b + 1 ELSE f.t END"
+
+
+@query(
+    "geo19_crop_trim",
+    f"""WITH RECURSIVE {RECTS}, o AS (SELECT page_number, figure_no, l, t, r, b, row_number() OVER (PARTITION BY page_number ORDER BY figure_no, l, t, r, b) AS i FROM rects),
+  n AS (SELECT page_number, count(*) AS n FROM rects GROUP BY 1),
+  f AS (SELECT page_number, figure_no, 0 AS i, CAST(l AS DOUBLE) AS l, CAST(t AS DOUBLE) AS t, CAST(r AS DOUBLE) AS r, CAST(b AS DOUBLE) AS b FROM o
+    UNION ALL SELECT f.page_number, f.figure_no, w.i, {TRIM_L}, {TRIM_T},
+      CASE WHEN {ACTS} AND w.l < f.r AND f.r < w.r AND w.l - 1 > ({TRIM_L}) + 25 THEN w.l - 1 ELSE f.r END,
+      CASE WHEN {ACTS} AND w.t < f.b AND f.b < w.b AND w.t - 1 > ({TRIM_T}) + 25 THEN w.t - 1 ELSE f.b END
+    FROM f JOIN o w ON w.page_number = f.page_number AND w.i = f.i + 1)
+SELECT f.page_number, f.figure_no, round(l, 2) AS l, round(t, 2) AS t, round(r, 2) AS r, round(b, 2) AS b FROM f JOIN n ON n.page_number = f.page_number AND n.n = f.i""",
+)
 def crop_trim(spark, sf_dir):
     b = boxes(spark, sf_dir).select("page_number", F.explode("boxes").alias("box"), "boxes")
     return b.select("page_number", "box.figure_no", G.trimmed(F.col("box"), F.col("boxes")).alias("x")).select("page_number", "figure_no", "x.*")
@@ -303,6 +345,32 @@ def title_link(spark, sf_dir):
     return L.table_zones(words(spark, sf_dir), W, H).select(*L.PAGE, "zone_id", "title", "first_line", "n_words")
 
 
+def drawings(spark, sf_dir):
+    """Thin lines on every page: two tall ones on pages of every third document, short ones elsewhere."""
+    pages = words(spark, sf_dir).select(*L.PAGE).distinct()
+    tall = F.col("document_id") % 3 == 0
+    return pages.withColumn("x", F.explode(F.array(F.lit(100.0), F.lit(300.0)))).select(*L.PAGE, F.col("x").alias("l"), F.lit(100.0).alias("t"), (F.col("x") + 2).alias("r"), F.when(tall, 400.0).otherwise(120.0).alias("b"))
+
+
+def library_tables(spark, sf_dir):
+    """What a table library found: one zone on every page of each second document."""
+    w = words(spark, sf_dir).filter("document_id % 2 = 0")
+    return w.groupBy(*L.PAGE).agg(F.lit(0).alias("zone_id"), F.lit("Ruled table").alias("title"), F.min("l").alias("zl"), F.min("t").alias("zt"), F.max("r").alias("zr"), F.max("b").alias("zb"), F.count("*").alias("n_words"))
+
+
+@query(
+    "geo14_table_routing",
+    f"""WITH {WORDS}, own AS (SELECT document_id, page_number, 0 AS zone_id, 'ruled' AS method, count(*) AS n_words, min(t) AS zt, max(b) AS zb FROM words WHERE document_id % 6 = 0 GROUP BY ALL),
+  {ZONES.replace("FROM words WHERE", "FROM words WHERE document_id % 6 <> 0 AND")}
+SELECT * FROM own UNION ALL SELECT i.document_id, i.page_number, CAST(zone_id AS INTEGER), 'x_gaps', count(*), min(i.t), max(i.b) FROM inside i
+JOIN zones z ON z.document_id = i.document_id AND z.page_number = i.page_number AND (i.l + i.r) / 2 BETWEEN zone_l - 2 AND zone_r + 2 GROUP BY ALL HAVING count(*) >= 2""",
+)
+def table_routing(spark, sf_dir):
+    """A library's tables on the pages with a ruled grid where it has some, X-gap zones on all others."""
+    found = L.detect_tables(words(spark, sf_dir), L.has_ruled_grid(drawings(spark, sf_dir)), library_tables(spark, sf_dir), W, H)
+    return found.select(*L.PAGE, "zone_id", "method", "n_words", "zt", "zb")
+
+
 def rows(spark, sf_dir):
     """Table rows: a section header, a record or a footnote for every lineitem of an order."""
     x = table(spark, sf_dir, "lineitem")

@@ -36,6 +36,26 @@ def rerank(spark, sf_dir):
     return qa.rerank(c, 6, keys=("label",)).select("label", "chunk_id", "final_rank")
 
 
+class LengthScorer:
+    """Prefers texts that are as long as the question; stands for a model in the query below."""
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        return [-float(abs(len(query) - len(t))) for t in texts]
+
+
+@query(
+    "ret06_rerank_scored",
+    """WITH c AS (SELECT item_id, doc_id, length(b.text) - length(d.text) AS apart FROM documents d JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark))
+SELECT item_id, doc_id AS chunk_id, CAST(-abs(apart) AS DOUBLE) AS rerank_score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY abs(apart), doc_id) AS INTEGER) AS final_rank FROM c QUALIFY final_rank <= 8""",
+)
+def rerank_scored(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % items.count()).alias("item_id"), F.col("doc_id").alias("chunk_id"), "text")
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("chunk_id"))
+    found = qa.rerank(docs.join(items, "item_id").withColumn("rank", rank), 8, LengthScorer, ("item_id",))
+    return found.select("item_id", "chunk_id", "rerank_score", "final_rank")
+
+
 @query(
     "ret12_extractive_answer",
     r"""WITH e AS (SELECT conv_id, text, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),

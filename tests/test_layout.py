@@ -176,3 +176,40 @@ def test_boilerplate(spark):
     left = D.strip_boilerplate(df, t, 792.0).collect()
     assert sorted(r.text for r in left) == ["body 1", "body 2", "body 3", "unique x", "unique y", "unique z"]
     assert {(r.page_number, r.printed) for r in D.printed_pages(D.mark_boilerplate(df, t, 792.0)).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_ruled_pages_go_to_the_library(spark):
+    """Page 1 has a ruled grid and library tables, page 2 a grid alone, page 3 tables of the library alone."""
+    words = tables(spark)
+    for n in (2, 3):
+        words = words.unionByName(tables(spark).withColumn("page_number", F.lit(n)))
+    grid = [(1, n, x, 90.0, x + 1.0, 400.0) for n in (1, 2) for x in (30.0, 600.0)] + [(1, 3, 30.0, 90.0, 31.0, 100.0)]
+    drawings = spark.createDataFrame(grid, "document_id int, page_number int, l double, t double, r double, b double")
+    zones = spark.createDataFrame([(1, n, 7, "Library table", 30.0, 90.0, 600.0, 400.0, 4) for n in (1, 3)], "document_id int, page_number int, zone_id int, title string, zl double, zt double, zr double, zb double, n_words int")
+    rows = spark.createDataFrame([(1, n, 7, k, t, 1.0, 1.0) for n in (1, 3) for k, t in enumerate(("MOTOR", "Weight: 3 kg"))], "document_id int, page_number int, zone_id int, row_no long, text string, mean_confidence double, least double")
+    found = L.detect_tables(words, L.has_ruled_grid(drawings), zones, 700.0, 792.0)
+    assert sorted((r.page_number, r.method, r.zone_id) for r in found.collect()) == [(1, "ruled", 7), *((n, "x_gaps", k) for n in (2, 3) for k in range(3))]
+    out = D.process(words, 700.0, 792.0, 10, drawings, (zones, rows))
+    kept = sorted((r.page_number, r.zone_id, r.attribute) for r in out["records"].collect())
+    assert [x for x in kept if x[0] == 1] == [(1, 7, "Weight")] and len(kept) == 13
+    text = [r.text for r in out["chunks"].filter("page_number = 1 and chunk_type = 'table'").collect()]
+    assert text == ["Table: Library table\n[MOTOR] Weight: 3 kg"]
+    D.release(out)
+
+
+def test_pipeline_keeps_every_clean_word(spark, sf_dir):
+    """Each word that is not boilerplate is in one text chunk of its page, in one place."""
+    from collections import Counter
+
+    from folioframe.plans import layout_queries as Q
+
+    out = D.process(Q.words(spark, sf_dir), Q.W, Q.H)
+    words, texts = Counter(), Counter()
+    for r in out["clean"].select("document_id", "page_number", "text").collect():
+        words[r.document_id, r.page_number, r.text] += 1
+    for r in out["chunks"].filter("chunk_type = 'text'").select("document_id", "page_number", "text", "tokens").collect():
+        assert r.tokens == len(r.text) // 4
+        for w in r.text.split():
+            texts[r.document_id, r.page_number, w] += 1
+    assert texts == words and words
+    D.release(out)

@@ -260,3 +260,51 @@ def test_image_plugins(spark):
     figs = spark.createDataFrame([("d", 2, 1.0, 2.0, 11.0, 22.0)], "document_id string, page_number int, l double, t double, r double, b double")
     r = G.rendered(figs, spark.createDataFrame([("d", b"x")], "document_id string, content binary"), Renderer).first()
     assert (bytes(r.png), r.width_px, r.height_px) == (b"x", 10, 150)
+
+
+def test_default_embeddings_are_those_of_the_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "  ")], "doc_id long, text string"))
+    model = qa.HashingEmbedder()
+    for r in qa.embed_texts(docs, "text").collect():
+        want = model.embed([r.text if r.text and r.text.strip() else " "])[0]
+        assert r.embedding == pytest.approx(want, abs=1e-6)
+
+
+def test_agent_is_that_of_plain_python(spark, sf_dir):
+    """Every question's first answer, with retrieval, fusion and the choice of evidence written out."""
+    from folioframe.plans import qa_queries
+    from folioframe.plans.text_queries import WC
+
+    import numpy as np
+    import regex
+
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    known = sorted(i for i in vectors if i in rows)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
+    planned = {}
+    for r in qa.plan_queries(items).collect():
+        planned.setdefault(r.question_id, {})[r.sq] = r.query
+    tokens = lambda t: regex.findall(f"[{WC}]{{2,}}", (t or "").lower())
+    want = {}
+    for q, subs in planned.items():
+        if q not in vectors:
+            continue
+        found = {}
+        for sq in sorted(subs):
+            v = vectors[q]
+            cos = {i: round(float(v @ vectors[i] / (np.linalg.norm(v) * np.linalg.norm(vectors[i]))), 9) for i in known}
+            pool = sorted(known, key=lambda i: (-cos[i], i))[:10]
+            words = {i: tokens(rows[i].text) for i in pool}
+            mean = sum(map(len, words.values())) / len(pool)
+            score = {i: round(sum(words[i].count(t) * 2.5 / (words[i].count(t) + 1.5 * (0.25 + 0.75 * len(words[i]) / mean)) for t in tokens(subs[sq])), 9) for i in pool}
+            lexical = sorted(pool, key=lambda i: (-score[i], pool.index(i)))
+            fused = {i: round(1 / (61 + pool.index(i)) + 1 / (61 + lexical.index(i)), 9) for i in pool}
+            for n, i in enumerate(sorted(pool, key=lambda i: (-fused[i], pool.index(i)))[:6]):
+                found.setdefault(i, (sq, n, i))
+        first = rows[min(found, key=found.get)]
+        text = " ".join(first.text.split())
+        want[q] = f"{text[:200]}{'...' if len(text) > 200 else ''} [Doc: {first.source}, Page: {first.doc_id % 12}]"
+    got = {r.question_id: r for r in qa_queries.agent_answer(spark, sf_dir).collect()}
+    assert {q: r.answer for q, r in got.items()} == want and want
+    assert all(r.is_verified and r.retries == 0 for r in got.values())
