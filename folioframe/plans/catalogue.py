@@ -8,6 +8,7 @@ from folioframe.plans import (  # noqa: F401
     qa_queries,
     relational_queries,
     retrieval_queries,
+    source_queries,
     stream_queries,
     text_queries,
 )

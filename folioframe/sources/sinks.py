@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioframe.functions.text import uuid5
 from folioframe.operators.relational import upsert
@@ -16,7 +17,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def ensure_collection(spark: SparkSession, path: str, schema: str) -> None:
+def ensure_collection(spark: SparkSession, path: str, schema: str | StructType) -> None:
     """An empty collection if there is none."""
     if not _exists(spark, path):
         spark.createDataFrame([], schema).write.parquet(path)
