@@ -142,10 +142,41 @@ class Engine:
         return True
 
 
-def settings_report(values: dict[str, str], needs: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
-    """(level, message) for every provider: OK when all its settings are there, FAIL when some lack."""
-    out = []
+#: Planned resident megabytes of the process, and of its local models (fixed values); models run one at a time.
+BASE_MB = 450
+STAGE_MB = {"layout": 1800, "ocr": 350, "image_embed": 1700, "text_embed": 2400, "rerank": 2400}
+ALWAYS_LOCAL = ("layout", "ocr")
+
+
+def is_placeholder(value: str | None) -> bool:
+    return not value or value.startswith(("your-", "change-me"))
+
+
+def settings_report(values: dict[str, str], needs: dict[str, tuple[str, ...]], secrets: tuple[str, ...] = (), chain: list[str] | None = None) -> list[tuple[str, str]]:
+    """(level, message) findings: OK, WARN or FAIL.
+
+    A provider is OK when all its settings are there, FAIL when a place or model lacks, WARN when only a key
+    (a setting that ends in ``KEY``) lacks or is a placeholder. A secret shorter than 32 characters is a
+    warning, and so is an endpoint of the ``chain`` without a key; an empty chain is a failure.
+    """
+    out = [("WARN", f"{n}: placeholder or shorter than 32 characters") for n in secrets if is_placeholder(values.get(n)) or len(values[n]) < 32]
+    if chain is not None and not chain:
+        out.append(("FAIL", "no model endpoints"))
+    for n in chain or ():
+        needs = needs | {f"LLM {n}": tuple(f"LLM_{n}_{part}" for part in ("BASE_URL", "MODEL", "API_KEY"))}
     for provider, names in needs.items():
-        lacking = [n for n in names if not values.get(n)]
-        out.append(("FAIL", f"{provider}: {', '.join(lacking)}") if lacking else ("OK", provider))
+        lacking = [n for n in names if not values.get(n) or n.endswith("KEY") and is_placeholder(values[n])]
+        soft = all(n.endswith("KEY") for n in lacking)
+        level = "OK" if not lacking else "WARN" if soft and len(names) > 1 else "FAIL"
+        out.append((level, f"{provider}: {', '.join(lacking)}" if lacking else provider))
     return out
+
+
+def memory_report(available_mb: int, headroom_mb: int = 0, local: tuple[str, ...] = ()) -> tuple[str, int]:
+    """(level, estimated peak): the process and the largest of the models that run locally."""
+    peak = BASE_MB + max(STAGE_MB[s] for s in (*ALWAYS_LOCAL, *local))
+    return ("OK" if peak <= available_mb - headroom_mb else "WARN"), peak
+
+
+def exit_code(findings: list[tuple[str, str]]) -> int:
+    return int(any(level == "FAIL" for level, _ in findings))

@@ -78,11 +78,30 @@ def relational(spark: SparkSession, url: str, name: str, key: str | None = None,
 
 
 class PageReader(Protocol):
-    """A PDF library or OCR engine: bytes of a document -> (page, width, height, words as dicts)."""
+    """A PDF library or OCR engine: bytes of a document -> (page, width, height, words as dicts).
+
+    A reader may also have ``clip(content, page, box) -> words``, which reads one part of a page closer.
+    """
 
     def pages(self, content: bytes) -> Iterator[tuple[int, float, float, list[dict]]]: ...
 
 
+#: The bottom margin, and the width of the corners in it, as shares of the page (fixed values).
+BOTTOM, CORNER = 0.90, 0.15
+
+
+def with_page_digits(reader: PageReader, content: bytes, page: int, width: float, height: float, words: list[dict]) -> list[dict]:
+    """The words of a page, and the numbers that a closer look at its bottom corners (right, then left) finds.
+
+    Only readers with ``clip`` look closer, and only where no number stands alone in the bottom margin.
+    """
+    number = lambda w: w["text"].strip().isdigit()
+    if not hasattr(reader, "clip") or any(w["b"] > BOTTOM * height and number(w) for w in words):
+        return words
+    corners = [((1 - CORNER) * width, BOTTOM * height, width, height), (0.0, BOTTOM * height, CORNER * width, height)]
+    return words + [w | {"text": w["text"].strip()} for box in corners for w in reader.clip(content, page, box) if number(w)]
+
+
 def read_pages(files: DataFrame, readers: Callable[[], list[PageReader]]) -> DataFrame:
     """Words of documents by the first reader of the chain that yields some; failures move on to the next.
 
@@ -100,6 +119,7 @@ def read_pages(files: DataFrame, readers: Callable[[], list[PageReader]]) -> Dat
                 for reader in chain:
                     try:
                         for page, width, height, words in reader.pages(content):
+                            words = with_page_digits(reader, content, page, width, height, words)
                             rows += [(path, page, width, height, n, w["text"], round(w["l"], 2), round(w["t"], 2), round(w["r"], 2), round(w["b"], 2), w.get("confidence", 1.0)) for n, w in enumerate(words)]
                     except Exception:  # noqa: BLE001  a reader that fails is one without words
                         rows = []

@@ -308,3 +308,32 @@ def test_agent_is_that_of_plain_python(spark, sf_dir):
     got = {r.question_id: r for r in qa_queries.agent_answer(spark, sf_dir).collect()}
     assert {q: r.answer for q, r in got.items()} == want and want
     assert all(r.is_verified and r.retries == 0 for r in got.values())
+
+
+def test_settings_and_memory_findings():
+    from folioframe.api import exit_code, memory_report, settings_report
+
+    needs = {"embedder": ("EMBED_URL", "EMBED_MODEL", "EMBED_KEY"), "store": ("STORE_URL",)}
+    good = {"EMBED_URL": "u", "EMBED_MODEL": "m", "EMBED_KEY": "k", "STORE_URL": "s", "SECRET": "x" * 32, "LLM_1_BASE_URL": "u", "LLM_1_MODEL": "m", "LLM_1_API_KEY": "your-key"}
+    found = settings_report(good, needs, ("SECRET",), ["1"])
+    assert found == [("OK", "embedder"), ("OK", "store"), ("WARN", "LLM 1: LLM_1_API_KEY")] and exit_code(found) == 0
+    bad = settings_report({"EMBED_URL": "u", "EMBED_MODEL": "m", "EMBED_KEY": "change-me", "SECRET": "short"}, needs, ("SECRET",), [])
+    assert [x[0] for x in bad] == ["WARN", "FAIL", "WARN", "FAIL"] and exit_code(bad) == 1
+    assert memory_report(3000) == ("OK", 2250) and memory_report(3000, 1000) == ("WARN", 2250) and memory_report(2500, 0, ("rerank",)) == ("WARN", 2850)
+
+
+def test_page_digits_are_looked_for_in_the_corners():
+    word = lambda t, x, b: {"text": t, "l": x, "t": b - 9.0, "r": x + 9.0, "b": b}
+
+    class Reader:
+        asked = []
+
+        def clip(self, content, page, box):
+            self.asked.append(box)
+            return [word(" 7 ", box[0] + 1, 790.0), word("vii", box[0] + 20, 790.0)]
+
+    words = [word("12", 50.0, 300.0), word("body", 50.0, 780.0)]
+    got = readers.with_page_digits(Reader(), b"", 1, 600.0, 800.0, words)
+    assert [w["text"] for w in got] == ["12", "body", "7", "7"] and Reader.asked == [(510.0, 720.0, 600.0, 800.0), (0.0, 720.0, 90.0, 800.0)]
+    assert readers.with_page_digits(Reader(), b"", 1, 600.0, 800.0, [*words, word("7", 300.0, 790.0)])[-1]["l"] == 300.0 and len(Reader.asked) == 2
+    assert readers.with_page_digits(object(), b"", 1, 600.0, 800.0, words) == words
