@@ -20,13 +20,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word bytes -> 64-bit hash, remembered for the words of a task."""
+    """word bytes -> place of its 64-bit hash in ``table``, remembered for the words of a task."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.table = np.empty(1 << 16, _U)
 
     def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate((self.table, np.empty_like(self.table)))
+        self.table[n] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The hashes of a text's words."""
         if len(self) >= MEMO_WORDS:
             self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))  # first, as it may replace the table
+        return self.table[at]
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -42,7 +54,7 @@ def shingle_hashes(words: list[bytes], k: int, memo: WordHashes) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, _U)
-    ids = np.fromiter(map(memo.__getitem__, words), _U, n)
+    ids = memo.of(words)
     width = min(k, n)
     with np.errstate(over="ignore"):
         h = np.full(n - width + 1, _U(width))

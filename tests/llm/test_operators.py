@@ -13,7 +13,7 @@ import pytest
 from harness import compare
 from pyspark.sql import functions as F
 
-from folioframe.llm import bitsliced, decision_list, language_id, line_dedup, minhash, mixing, packing, queries, rule_ensemble, runtime, sharding, substrings, textstats
+from folioframe.llm import bitsliced, decision_list, graph, language_id, line_dedup, minhash, mixing, packing, queries, rule_ensemble, runtime, sharding, substrings, textstats
 from folioframe.llm.graph import components
 from folioframe.llm.words import WordHashes, lower_words, shingle_hashes
 
@@ -148,16 +148,30 @@ def test_signature_estimates_similarity():
     assert abs((x == y).mean() - 0.5) < 0.1
 
 
+def test_word_hashes_outgrow_their_table():
+    memo, words = WordHashes(), [b"%d" % k for k in range(200_000)]
+    want = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words[::997]]
+    assert memo.of(words)[::997].tolist() == want and memo.of(words[::997]).tolist() == want
+
+
 def test_words_are_split_at_six_characters():
     text = "A\x0bb\x0cC\rd e f\x1cg\x85h É"
     assert [w.decode() for w in lower_words(text)] == [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
 
 
-def test_components_of_a_hub(spark, monkeypatch):
+def test_components_over_many_tasks(spark, monkeypatch):
+    """A hub, a path and a comb; with few links held at a time most of them meet in the star rounds only."""
     monkeypatch.setattr(runtime, "HEAVY", 8)
-    edges = [(5, k) for k in range(100, 400)] + [(k, k + 1) for k in range(500, 520)] + [(399, 500)]
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert set(got.values()) == {5} and len(got) == 322
+    edges = [(5, k) for k in range(100, 400)] + [(k, k + 1) for k in range(500, 560)] + [(399, 500)] + [(k, k + 1000) for k in range(500, 560)]
+    random.Random(0).shuffle(edges)
+    rounds = []
+    monkeypatch.setattr(graph, "_stars", lambda *a, f=graph._stars: rounds.append(1) or f(*a))
+    for batch in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        monkeypatch.setattr(graph, "HELD", 500_000 if batch == "10000" else 3)
+        got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+        assert set(got.values()) == {5} and len(got) == 422
+    assert rounds
 
 
 def test_components(spark):
