@@ -22,7 +22,7 @@ ROWS = 8
 #: Chance that a pair exactly at the threshold shares no band.
 MISS = 1e-5
 #: Distinct texts, and bytes of them, that one verification task compares with as many others.
-BLOCK = 512
+BLOCK = 128
 BLOCK_BYTES = 8 << 20
 #: Columns of the incidence matrix held at once while verifying.
 COLUMNS = 4096
