@@ -35,7 +35,7 @@ FIGURE_STOP_WORDS = ("a", "an", "the", "in", "on", "of", "to", "for", "is", "are
 # Units that keep a capitalised row from being a section header.
 HEADER_STOPS = (":", "LBS", "KG", "RPM", "HP", "VDC", "AH", "GALLONS")
 # A numbered heading.
-HEADING_PREFIX = f"(?i)^((choose your|section|chapter|view inside){END}|part \\d+)"
+HEADING_PREFIX = f"(?i)^(choose your{END}|section{END}|chapter{END}|part \\d+|view inside{END})"
 
 
 def strip(c: Column) -> Column:
@@ -209,6 +209,7 @@ def clean_line(c: Column) -> Column:
 def normalised_tokens(c: Column) -> Column:
     """Order-free tokens: one kind of quotes, no thousands commas, numbers apart from units and ranges."""
     t = F.translate(F.coalesce(c, F.lit("")), "’‘“”", "''\"\"")
+    # What is set apart, in this order.
     for pattern, to in (
         (r"(\d),(\d)", "$1$2"), (r"(\d+)([a-zA-Z]+)", "$1 $2"), (r"([a-zA-Z]+)(\d+)", "$1 $2"),
         (r"(\d+)-(\d+)", "$1 - $2"), (r"(\d+)([\"'*+])", "$1 $2"), (r"(\*+)", " $1 "),

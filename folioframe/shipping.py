@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -15,12 +17,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_folioframe_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(), "folioframe.zip")
+    folder = tempfile.mkdtemp(prefix="folioframe-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "folioframe.zip")
     with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(root):
+        for at, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(at, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(archive)
     sc._folioframe_shipped = True

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SORTED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.autoBroadcastJoinThreshold": "-1"}
 
 _written: list[tuple[SparkSession, str]] = []
+_open: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("folioframe_open", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -64,7 +66,7 @@ def save(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._folioframe_path = path
-    return out
+    return _noted(out)
 
 
 def save_sorted(df: DataFrame, label: str, key: str) -> DataFrame:
@@ -81,7 +83,35 @@ def save_sorted(df: DataFrame, label: str, key: str) -> DataFrame:
     _written.append((spark, path))
     out = spark.table(name)
     out._folioframe_path, out._folioframe_table = path, name
-    return out
+    return _noted(out)
+
+
+def _noted(df: DataFrame) -> DataFrame:
+    if (made := _open.get()) is not None:
+        made.append(df)
+    return df
+
+
+@contextlib.contextmanager
+def workspace() -> Iterator[Callable[..., None]]:
+    """Deletes what is saved inside it at its end, but for the frames that it was told to keep.
+
+    Frames that are kept belong to the workspace around it, if there is one; else they go when the driver
+    ends. What a returned, lazy plan still reads must be kept.
+    """
+    outer, made, kept = _open.get(), [], set()
+    token = _open.set(made)
+    try:
+        yield lambda *frames: kept.update(f._folioframe_path for f in frames)
+    finally:
+        _open.reset(token)
+        there = {path for _, path in _written}
+        for df in made:
+            if df._folioframe_path in kept:
+                if outer is not None:
+                    outer.append(df)
+            elif df._folioframe_path in there:
+                drop(df)
 
 
 def drop(*frames: DataFrame) -> None:
