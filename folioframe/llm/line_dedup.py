@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.runtime import drop, extend_batches, join_heavy, map_batches, save, save_sorted
+from folioframe.llm.runtime import drop, extend_batches, join_heavy, map_batches, save, save_sorted, workspace
 from folioframe.llm.textstats import SPACE
 
 MIN_CHARS = 40
@@ -157,9 +157,10 @@ def without_lines(docs: DataFrame, gone: DataFrame, digest: bool = False) -> Dat
 
 def _batch(docs: DataFrame, batches: int) -> Column:
     """0 for the largest ids, and so on; a document is in one batch whatever the number of its rows."""
-    cuts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
-    cuts = F.array(*(F.lit(c) for c in sorted(set(map(int, cuts)))))
-    return F.size(F.filter(cuts, lambda c: F.col("doc_id") < c)) if batches > 1 else F.lit(0)
+    if batches == 1:
+        return F.lit(0)
+    cuts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)
+    return F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(map(int, cuts))))), lambda c: F.col("doc_id") < c)) if cuts else F.lit(0)
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
@@ -169,11 +170,12 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | Non
     parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // batches))
     lines = line_table(docs).withColumn("batch", _batch(docs, batches)).withColumn("part", F.pmod(F.xxhash64("key", "doc_id"), F.lit(parts)))
     lines = lines.repartition(batches * parts, "batch", "part").dropDuplicates(["batch", "part", "key", "doc_id"])
-    lines, store = save(lines.select("key", "doc_id", "batch"), "lines", "batch"), LineRuns(spark)
-    for b in range(batches):
-        store.add(lines.filter(F.col("batch") == b).select("key", "doc_id"))
-    heavy = save(store.frequent(min_docs), "frequent")
-    store.clear()
+    with workspace() as keep:
+        lines, store = save(lines.select("key", "doc_id", "batch"), "lines", "batch"), LineRuns(spark)
+        for b in range(batches):
+            store.add(lines.filter(F.col("batch") == b).select("key", "doc_id"))
+        heavy = save(store.frequent(min_docs), "frequent")
+        keep(lines, heavy)
     met = join_heavy(lines, heavy, "key", "n_docs", lines.count())
     return met.filter("doc_id <> last_doc").select("doc_id", "key")
 

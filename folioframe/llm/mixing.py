@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.runtime import save
+from folioframe.llm.runtime import save, workspace
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -83,7 +83,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     by source.
     """
     source, size = F.col("source").alias("source"), word_count(F.col("text")).alias("size")
-    rates = save(source_rates(docs.select(source, size), weights, most), "rates")
+    with workspace() as keep:
+        rates = save(source_rates(docs.select(source, size), weights, most), "rates")
+        keep(rates)
     rates = rates.withColumnRenamed("source", "rate_source")
     rows = docs.select(F.struct("*").alias("row"), source, size, draw(F.col("doc_id"), seed).alias("draw"))
     same = F.col("source").eqNullSafe(F.col("rate_source"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from folioframe.shipping import ship
-from folioframe.storage import SORTED, drop, keep_until_exit, save, save_sorted, settings, shared_root  # noqa: F401  for the operators
+from folioframe.storage import SORTED, drop, keep_until_exit, save, save_sorted, settings, shared_root, workspace  # noqa: F401  for the operators
 
 #: Rows and bytes that one Arrow batch hands to a Python worker; bounds its memory for long texts.
 BATCH_ROWS = 1000

@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.runtime import drop, extend_batches, prepare, save
+from folioframe.llm.runtime import extend_batches, prepare, save, workspace
 from folioframe.llm.words import GOLD, mix
 
 WINDOW = 100
@@ -455,22 +455,23 @@ def remove_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long_ = F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW)
     keyed = keyed.withColumn("key", F.when(long_, F.unhex(F.md5(F.col("text").cast("binary")))))
-    owners = save(
-        keyed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.first(F.octet_length("text")).cast("long").alias("bytes"), F.count("*").alias("n")),
-        "owners",
-    )
-    total = owners.agg(F.coalesce(F.sum(F.col("bytes") * F.col("n")), F.lit(0))).first()[0]
-    mergers, parts = max(8, -(-total // MERGER_BYTES)), max(8, -(-total // JOIN_BYTES))
-    long_texts = keyed.filter("key is not null")
-    found = _anchor_blobs(long_texts, mergers).repartition(mergers, "r").groupBy("r").applyInArrow(_twice, "key binary, positions array<int>")
-    sites = found.groupBy("key").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    sites = save(sites.join(owners.select("key", "first"), "key"), "sites")
-    route = Route(_sample(long_texts, sites), mergers)
-    at = long_texts.repartition(parts, "key", "doc_id").join(sites.withColumnRenamed("first", "doc_id"), ["key", "doc_id"])
-    covers = _run_blobs(at, route).repartition(route.mergers, "r").groupBy("r").applyInArrow(_merge, "key binary, start int, stop int")
-    per = covers.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("stretches"))
-    marks = save(owners.select("key", "first").join(per, "key", "left").withColumnRenamed("key", "_key"), "marks")
-    drop(sites)
+    with workspace() as keep:
+        owners = save(
+            keyed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.first(F.octet_length("text")).cast("long").alias("bytes"), F.count("*").alias("n")),
+            "owners",
+        )
+        total = owners.agg(F.coalesce(F.sum(F.col("bytes") * F.col("n")), F.lit(0))).first()[0]
+        mergers, parts = max(8, -(-total // MERGER_BYTES)), max(8, -(-total // JOIN_BYTES))
+        long_texts = keyed.filter("key is not null")
+        found = _anchor_blobs(long_texts, mergers).repartition(mergers, "r").groupBy("r").applyInArrow(_twice, "key binary, positions array<int>")
+        sites = found.groupBy("key").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+        sites = save(sites.join(owners.select("key", "first"), "key"), "sites")
+        route = Route(_sample(long_texts, sites), mergers)
+        at = long_texts.repartition(parts, "key", "doc_id").join(sites.withColumnRenamed("first", "doc_id"), ["key", "doc_id"])
+        covers = _run_blobs(at, route).repartition(route.mergers, "r").groupBy("r").applyInArrow(_merge, "key binary, start int, stop int")
+        per = covers.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("stretches"))
+        marks = save(owners.select("key", "first").join(per, "key", "left").withColumnRenamed("key", "_key"), "marks")
+        keep(marks)
     # by key and document: the copies of a text do not meet in one task, nor do the texts without a key
     spread = keyed.withColumn("_id", F.coalesce("doc_id", F.xxhash64("text"))).repartition(parts, "key", "_id")
     joined = spread.join(marks, (F.col("key") == F.col("_key")) & (F.col("_id") == F.col("first")), "left")

@@ -423,6 +423,8 @@ def test_line_dedup_corner_cases(spark, odd_clashing, none):
     out = line_dedup.dedupe_lines(odd_clashing)
     assert out.columns == odd_clashing.columns and out.count() == len(ODD)
     assert line_dedup.dedupe_lines(none).collect() == []
+    for some in (none, odd_clashing.withColumn("doc_id", F.lit(None).cast("long"))):
+        assert line_dedup.repeated_lines(some, batches=3).collect() == []
 
 
 # --- repeated substrings --------------------------------------------------------------------------------
