@@ -34,7 +34,7 @@ ISLANDS = 3
 EPOCHS = 2
 POPULATION = 8
 GENERATIONS = 40
-PATIENCE = 10
+PATIENCE = 4
 INJECT = 0.3
 END_ID = 0
 
