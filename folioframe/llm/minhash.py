@@ -244,9 +244,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, block:
         each = save(clusters.select(F.col("component").alias("cluster"), "id").join(marks.select("id", "bytes"), "id"), "each")
         sizes = save(each.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")), "sizes")
         sized = join_heavy(each, sizes, "cluster", "n", each.count())
-        at = _block(_blocks("n", "size", block))
+        at = _block(_blocks("n", "size", block // 2))  # half as many, as blocks may share a task; the others meet later
         links = verify(sized.select("cluster", "id", at.alias("i"), at.alias("j"), F.lit(0).alias("half")))
-        several = _blocks("n", "size", block) > 1
+        several = _blocks("n", "size", block // 2) > 1
         if not sizes.filter(several).isEmpty():
             across = verify(save(_across(sized.filter(several), components(links), block), "across"))
             links = links.unionByName(across)
