@@ -70,10 +70,15 @@ def health(components: DataFrame) -> DataFrame:
     return components.agg(F.when(F.bool_and("up"), "ok").otherwise("degraded").alias("status"))
 
 
-def upsert(target: DataFrame, fresh: DataFrame, key: str, version: str) -> DataFrame:
-    """Idempotent: one row per key, the one with the highest version; reruns change nothing."""
-    order = Window.partitionBy(key).orderBy(F.desc(version))
-    return target.unionByName(fresh).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+def upsert(target: DataFrame, fresh: DataFrame, key: str, version: str, arrival: tuple[str, ...] = ()) -> DataFrame:
+    """Idempotent: one row per key, the one with the highest version; reruns change nothing.
+
+    Of rows with equal versions the target's stays, then the first by the columns ``arrival``. Without these,
+    which of several fresh rows of one version wins is open, as rows have no order.
+    """
+    both = target.withColumn("_side", F.lit(0)).unionByName(fresh.withColumn("_side", F.lit(1)))
+    order = Window.partitionBy(key).orderBy(F.desc(version), "_side", *arrival)
+    return both.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth", "_side")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:

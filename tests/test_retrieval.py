@@ -161,6 +161,38 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
 
 
+def test_upsert_takes_the_first_of_equal_versions(spark, tmp_path):
+    """Two files, of which Spark reads the second, larger one first; ties go to the first row in file order."""
+    import duckdb
+
+    from folioframe.plans import catalogue
+
+    line = "l_orderkey long, l_extendedprice double, l_linenumber int"
+    parts = [[(k, 1.0 * k, 3) for k in range(50)], [(k, 1000.0 + n, 3) for n in range(40) for k in range(60)]]
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, line).coalesce(1).write.parquet(f"{tmp_path}/raw{n}")
+        (part,) = (f for f in os.listdir(f"{tmp_path}/raw{n}") if f.endswith(".parquet"))
+        os.makedirs(f"{tmp_path}/lineitem.parquet", exist_ok=True)
+        os.rename(f"{tmp_path}/raw{n}/{part}", f"{tmp_path}/lineitem.parquet/part-{n}.parquet")
+    orders = [(k, 0.5 + k) for k in range(70)]
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.document_id: r.size for r in catalogue.QUERIES["rel22_upsert"](spark, str(tmp_path)).collect()}
+    assert got == dict(orders) | {k: 1000.0 for k in range(60)} | {k: 1.0 * k for k in range(50)}
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    for t in ("orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == dict(con.sql(catalogue.ORACLES["rel22_upsert"]).fetchall())
+
+
+def test_upsert_keeps_the_target_at_equal_versions(spark):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k int, v int, x string, n int")
+    old, new = frame((1, 1, "old", 9), (2, 1, "old", 9)), frame((1, 1, "b", 2), (2, 2, "b", 2), (2, 2, "a", 1), (3, 1, "b", 2), (3, 1, "a", 1))
+    first = R.upsert(old, new, "k", "v", ("n",))
+    assert sorted((r.k, r.x) for r in first.collect()) == [(1, "old"), (2, "a"), (3, "a")]
+    assert sorted((r.k, r.x) for r in R.upsert(first, new, "k", "v", ("n",)).collect()) == [(1, "old"), (2, "a"), (3, "a")]
+
+
 def test_limiter_stream_is_the_batch(spark, sf_dir, tmp_path):
     calls = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("call_id"))
     calls.orderBy("at", "call_id").coalesce(1).write.parquet(str(tmp_path / "in"))
