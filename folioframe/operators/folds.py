@@ -37,3 +37,29 @@ def running_fold(df: DataFrame, keys: list[str], order: list, inputs: list[str],
 
     schema = StructType([StructField("row", df.schema), StructField(out, LongType())])
     return placed.mapInArrow(run, schema).select("row.*", out)
+
+
+def bucket_rule(tolerance: float) -> tuple[Callable[[], Any], Callable[..., int]]:
+    """``start`` and ``step`` of the baseline rule for boxes (t, b) in order of their tops."""
+
+    def start() -> tuple[dict, list, list]:
+        return {}, [], []
+
+    def step(state: tuple[dict, list, list], t: float, b: float) -> int:
+        known, first, near = state  # equal boxes are in one bucket; near: buckets that words from here on can reach
+        if (got := known.get((t, b))) is not None:
+            return got
+        mid = (t + b) / 2
+        if near and t > near[0][1]:
+            near[:] = [x for x in near if t <= x[1]]
+        for k, _, t0, m0 in near if b >= t else first:
+            if abs(mid - m0) <= tolerance or abs(t - t0) <= tolerance:
+                break
+        else:
+            k = len(first)
+            first.append((k, max(t, mid) + tolerance, t, mid))
+            near.append(first[-1])
+        known[t, b] = k
+        return k
+
+    return start, step

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioframe.functions import text as T
-from folioframe.operators.folds import running_fold
+from folioframe.operators import pages
+from folioframe.operators.folds import bucket_rule, running_fold
 
 PAGE = ["document_id", "page_number"]
 LINE_GAP, BAND_GAP, GUTTER, HEADING = 2.5, 3.5, 0.0227, 2.5
@@ -43,28 +45,7 @@ def median_height(boxes: DataFrame) -> DataFrame:
 
 def bucketed(words: DataFrame, tolerance: float) -> DataFrame:
     """Adds ``bucket``: the first earlier bucket whose first word is near in top or middle, else a new one."""
-
-    def start() -> tuple[dict, list, list]:
-        return {}, [], []
-
-    def step(state: tuple[dict, list, list], t: float, b: float) -> int:
-        known, first, near = state  # equal boxes are in one bucket; near: buckets that words from here on can reach
-        if (got := known.get((t, b))) is not None:
-            return got
-        mid = (t + b) / 2
-        if near and t > near[0][1]:
-            near[:] = [x for x in near if t <= x[1]]
-        for k, _, t0, m0 in near if b >= t else first:
-            if abs(mid - m0) <= tolerance or abs(t - t0) <= tolerance:
-                break
-        else:
-            k = len(first)
-            first.append((k, max(t, mid) + tolerance, t, mid))
-            near.append(first[-1])
-        known[t, b] = k
-        return k
-
-    return running_fold(words, PAGE, ["t", "l", "word_no"], ["t", "b"], start, step, "bucket")
+    return running_fold(words, PAGE, ["t", "l", "word_no"], ["t", "b"], *bucket_rule(tolerance), "bucket")
 
 
 def lines(words: DataFrame, max_gap: float | None = None, tolerance: float = 5.0) -> DataFrame:
@@ -218,19 +199,16 @@ def zone_pages(words: DataFrame) -> DataFrame:
 
 
 def table_zones(words: DataFrame, width: float, height: float) -> DataFrame:
-    """Zones (zone_id, title, box, n_words): the title is the nearest line above, else the first line."""
-    z = zoned(words, width, height)
-    boxes = z.groupBy(*PAGE, "zone_id").agg(F.min("l").alias("zl"), F.min("t").alias("zt"), F.max("r").alias("zr"), F.max("b").alias("zb"), F.count("*").alias("n_words"))
-    own = lines(zone_pages(z), 15.0, 3.5).filter("line_no = 1").select(F.col("document_id.document_id").alias("document_id"), F.col("document_id.page_number").alias("page_number"), F.col("page_number").alias("zone_id"), F.col("text").alias("first_line"))
-    stops = F.lit(False)
-    for unit in (":", "lbs", "rpm", "hp"):
-        stops = stops | F.col("text").contains(unit)
-    titles = lines(content(words, height), 20.0, 4.0).filter(~stops).select(*PAGE, "line_no", F.col("text").alias("title"), "l", "r", F.col("b").alias("tb"))
-    mid = (F.col("l") + F.col("r")) / 2
-    near = (F.col("tb") <= F.col("zt") + 15) & (F.col("zt") - F.col("tb") <= 50) & mid.between(F.col("zl") - 25, F.col("zr") + 25)
-    best = boxes.join(titles, PAGE).filter(near).groupBy(*PAGE, "zone_id").agg(F.min_by("title", F.struct(F.abs(F.col("zt") - F.col("tb")), F.col("line_no"))).alias("title"))
-    out = boxes.join(own, [*PAGE, "zone_id"]).join(best, [*PAGE, "zone_id"], "left")
-    return out.select(*PAGE, "zone_id", F.coalesce("title", "first_line").alias("title"), "first_line", "zl", "zt", "zr", "zb", "n_words")
+    """Zones (zone_id, title, box, n_words): the title is the nearest line above, else the first line.
+
+    A page's words are read once, as a block: the words of its zones (``zoned``), the lines of these and those
+    of the page need no further shuffle or join. Words without a full box take no part.
+    """
+    found = StructType.fromDDL("zone_id int, title string, first_line string, zl double, zt double, zr double, zb double, n_words long")
+    least, stops = max(2.5, 0.003 * width), (":", "lbs", "rpm", "hp")
+    z = pages.by_page(content(words, height), lambda block: pages.zone_titles(block, width, least, stops), found)
+    first, title = T.collapse(F.col("first_line")), T.collapse(F.col("title"))
+    return z.select(*PAGE, "zone_id", F.coalesce(title, first).alias("title"), first.alias("first_line"), "zl", "zt", "zr", "zb", "n_words")
 
 
 def table_rows(words: DataFrame, tolerance: float = 4.0) -> DataFrame:

@@ -109,6 +109,37 @@ def test_tables_and_their_moves(spark, move):
     assert all(r.section == "MOTOR" and r.units.minutes == "150" and r.footnotes == "* Based on load" for r in run)
 
 
+def test_table_zones_are_those_of_zones_and_lines(spark):
+    """Random pages, some with boxes upside down: blocks of pages against the zones and lines as plans of their own."""
+    rng, rows = random.Random(11), []
+    for p in range(1, 70):
+        for i in range(rng.choice((1, 2, 3, 40, 120))):
+            l, t = float(rng.choice((40, 240, 440)) + rng.randrange(90)), float(rng.randrange(40, 760))
+            rows.append((p % 3, p, i, rng.choice(("a", "bc", "2 hp", "x:", "Run")), l, t, l + rng.randrange(2, 60 if p % 4 else 400), t + rng.randrange(-9 if p % 5 == 0 else 1, 16)))
+    words = spark.createDataFrame(rows, WORD).repartition(3)
+    got = {(r.document_id, r.page_number, r.zone_id): (r.title, r.first_line, r.zl, r.zt, r.zr, r.zb, r.n_words) for r in L.table_zones(words, 660.0, 792.0).collect()}
+    zones = L.zoned(words, 660.0, 792.0)
+    own = {(*r.document_id, r.page_number): r.text for r in L.lines(L.zone_pages(zones), 15.0, 3.5).filter("line_no = 1").collect()}
+    every, boxes, want = {}, {}, {}
+    for r in L.lines(L.content(words, 792.0), 20.0, 4.0).collect():
+        every.setdefault((r.document_id, r.page_number), []).append(r)
+    for r in zones.collect():
+        boxes.setdefault((r.document_id, r.page_number, r.zone_id), []).append(r)
+    for key, ws in boxes.items():
+        zl, zt, zr, zb = min(w.l for w in ws), min(w.t for w in ws), max(w.r for w in ws), max(w.b for w in ws)
+        near = [(abs(zt - e.b), e.line_no, e.text) for e in every[key[:2]] if e.b <= zt + 15 and zt - e.b <= 50 and zl - 25 <= (e.l + e.r) / 2 <= zr + 25 and not any(s in e.text for s in (":", "lbs", "rpm", "hp"))]
+        want[key] = (min(near)[2] if near else own[key], own[key], zl, zt, zr, zb, len(ws))
+    assert got == want and len(want) > 30
+
+
+def test_table_zones_deal_out_no_words(spark, sf_dir):
+    """The texts are dealt out once, by document; words are not: at 0.1 GB they took more than 7 times the input."""
+    from folioframe.plans import layout_queries as Q
+
+    plan = Q.title_link(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "REPARTITION_BY_COL" in plan and "Join" not in plan
+
+
 def test_low_confidence(spark):
     rows = [(1, 1, i, w, 10.0 + 40 * i, 100.0, 40.0 + 40 * i, 110.0, c) for i, (w, c) in enumerate([("Key:", 0.45), ("a", 0.5), ("b", 0.55), ("c", 0.5)])]
     df = spark.createDataFrame(rows, WORD + ", confidence double")
