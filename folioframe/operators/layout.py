@@ -7,6 +7,9 @@ functions, and the two rules that depend on earlier decisions are streaming fold
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -73,6 +76,21 @@ def lines(words: DataFrame, max_gap: float | None = None, tolerance: float = 5.0
     return out.withColumn("line_no", F.row_number().over(order).cast("long")).drop("bucket", "fragment")
 
 
+def new_band() -> dict:
+    return {"band": 0, "n": 0, "headed": False, "b": None}
+
+
+def next_band(s: dict, heading: bool, footer: bool, t: float, b: float, med: float) -> int:
+    wide = s["b"] is not None and t - s["b"] > BAND_GAP * med and s["n"] >= 3 and not s["headed"]
+    if s["b"] is not None and s["n"] and (heading or footer or wide):
+        s["band"] += 1
+        s["n"], s["headed"] = 0, False
+    s["headed"] = s["headed"] or heading
+    s["n"] += 1
+    s["b"] = b
+    return s["band"]
+
+
 def bands(page_lines: DataFrame, width: float, height: float, prefix: str = T.HEADING_PREFIX) -> DataFrame:
     """Adds ``band`` (from 0) and the band's ``heading`` (its first heading line, or null)."""
     page = Window.partitionBy(*PAGE)
@@ -81,17 +99,7 @@ def bands(page_lines: DataFrame, width: float, height: float, prefix: str = T.HE
     marked = marked.withColumn("is_heading", (h >= HEADING * F.col("_med")) | (F.col("r") - F.col("l") >= 0.35 * width) | F.col("text").rlike(prefix))
     marked = marked.withColumn("_footer", F.col("t") > 0.88 * height)
 
-    def step(s: dict, heading: bool, footer: bool, t: float, b: float, med: float) -> int:
-        wide = s["b"] is not None and t - s["b"] > BAND_GAP * med and s["n"] >= 3 and not s["headed"]
-        if s["b"] is not None and s["n"] and (heading or footer or wide):
-            s["band"] += 1
-            s["n"], s["headed"] = 0, False
-        s["headed"] = s["headed"] or heading
-        s["n"] += 1
-        s["b"] = b
-        return s["band"]
-
-    out = running_fold(marked, PAGE, ["line_no"], ["is_heading", "_footer", "t", "b", "_med"], lambda: {"band": 0, "n": 0, "headed": False, "b": None}, step, "band")
+    out = running_fold(marked, PAGE, ["line_no"], ["is_heading", "_footer", "t", "b", "_med"], new_band, next_band, "band")
     inside = Window.partitionBy(*PAGE, "band").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heading = F.first(F.when(F.col("is_heading"), F.col("text")), ignorenulls=True).over(inside)
     return out.withColumn("heading", heading).drop("_med", "_footer")
@@ -133,21 +141,54 @@ def reading_order(words: DataFrame, width: float, height: float, primary: str |
 
     ``primary`` is a pattern of headings within a column, ``secondary`` the texts of the level below.
     """
-    b = bands(lines(words), width, height)
-    first = Window.partitionBy(*PAGE, "band", "text").orderBy("line_no")
-    b = b.withColumn("is_band_heading", F.col("heading").isNotNull() & (F.col("text") == F.col("heading")) & (F.row_number().over(first) == 1))
-    every = columns(b, width).withColumn("_order", F.when(F.col("is_band_heading"), 0).otherwise(1))
-    down = Window.partitionBy(*PAGE, "band", "_order", "column").orderBy("t", "l", "line_no")
-    is_primary = ~F.col("is_band_heading") & (F.col("text").rlike(primary) if primary else F.lit(False))
-    is_secondary = ~F.col("is_band_heading") & ~is_primary & (F.col("text").isin(*secondary) if secondary else F.lit(False))
-    nth = F.row_number().over(down)
-    every = every.withColumns({"_p": F.when(is_primary, F.struct(nth.alias("n"), "text")), "_s": F.when(is_secondary, F.struct(nth.alias("n"), "text"))})
-    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    every = every.withColumns({"_p": F.last("_p", True).over(so_far), "_s": F.last("_s", True).over(so_far)})
-    low = F.when(F.col("_p.n").isNull() | (F.col("_s.n") > F.col("_p.n")), F.col("_s.text"))
-    path = F.filter(F.array(F.col("heading"), F.col("_p.text"), low), lambda x: x.isNotNull())
-    order = Window.partitionBy(*PAGE).orderBy("band", "_order", "column", "t", "l", "line_no")
-    return every.select(*PAGE, F.row_number().over(order).cast("long").alias("block_no"), "text", path.alias("section_path"), "band", "column", "l", "t", "r", "b", "n_words")
+    every = ordered_pages(words, width, height, primary, secondary).select(*PAGE, F.posexplode("blocks").alias("_at", "_block"))
+    return every.select(*PAGE, (F.col("_at") + 1).cast("long").alias("block_no"), "_block.*")
+
+
+LINE_LIST = "array<struct<text:string,l:double,t:double,r:double,b:double,n_words:bigint>>"
+BLOCK_LIST = "array<struct<text:string,section_path:array<string>,band:bigint,column:int,l:double,t:double,r:double,b:double,n_words:bigint>>"
+
+
+def line_pages(words: DataFrame, max_gap: float | None = None, tolerance: float = 5.0) -> DataFrame:
+    """The lines of ``lines`` as one row a page (PAGE, lines), in order: no rule on a page's lines deals them out."""
+    listed = pages.by_page(words, lambda block: pages.line_lists(block, max_gap, tolerance, LINE_GAP), StructType.fromDDL(f"lines {LINE_LIST}"))
+    return listed.withColumn("lines", F.transform("lines", lambda x: x.withField("text", T.collapse(x["text"]))))
+
+
+def ordered_pages(words: DataFrame, width: float, height: float, primary: str | None = None, secondary: tuple[str, ...] = ()) -> DataFrame:
+    """The blocks of ``reading_order`` as one row a page (PAGE, blocks)."""
+    is_primary = lambda c: F.coalesce(c.rlike(primary), F.lit(False)) if primary else F.lit(False)
+    is_secondary = lambda c: c.isin(*secondary) if secondary else F.lit(False)
+    flags = lambda f: F.transform("lines", lambda x: f(x["text"]))
+    listed = line_pages(words).select(*PAGE, "lines", flags(lambda c: c.rlike(T.HEADING_PREFIX)).alias("prefix"), flags(is_primary).alias("primary"), flags(is_secondary).alias("secondary"))
+    rule = (new_band, next_band, GUTTER * width, HEADING)
+    pages.small_batches(words.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pages.few(batches):
+            held = batch.column(2)
+            cuts, at = held.offsets.to_numpy() - held.offsets[0].as_py(), held.flatten()
+            text = at.field("text").to_pylist()
+            box = [at.field(c).to_numpy() for c in "ltrb"]
+            flag = [batch.column(k).flatten().to_pylist() for k in (3, 4, 5)]
+            rows = []
+            for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
+                rows += [(a + i, *x) for i, *x in pages.in_order(text[a:z], *(c[a:z] for c in box), *(f[a:z] for f in flag), width, height, rule)]
+            line, path, band, column = zip(*rows) if rows else ((), (), (), ())
+            own = at.take(pa.array(line, pa.int64()))
+            fields = [own.field("text"), pa.array(path, pa.list_(pa.string())), pa.array(band, pa.int64()), pa.array(column, pa.int32()), *(own.field(c) for c in (*"ltrb", "n_words"))]
+            blocks = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(fields, names=["text", "section_path", "band", "column", *"ltrb", "n_words"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blocks], names=[*PAGE, "blocks"])
+
+    return listed.mapInArrow(run, StructType([listed.schema[c] for c in PAGE] + StructType.fromDDL(f"blocks {BLOCK_LIST}").fields))
+
+
+def zone_rows(words: DataFrame, width: float, height: float, tolerance: float = 4.0) -> DataFrame:
+    """``table_rows`` of the words of ``zoned``, the zones as pages of their own."""
+    more = ("confidence",) if "confidence" in words.columns else ()
+    found = StructType.fromDDL("zone_id int, row_no long, text string, mean_confidence double, least double")
+    rows = pages.by_page(content(words, height), lambda block: pages.zone_rows(block, width, max(2.5, 0.003 * width), tolerance), found, more)
+    return zone_pages(rows.withColumn("text", T.strip(F.col("text"))).filter("text <> ''")).drop("zone_id")
 
 
 def legend(words: DataFrame) -> DataFrame:
@@ -226,10 +267,11 @@ def table_records(rows: DataFrame) -> DataFrame:
     A row is a footnote, else a section header, else a record. A footnote goes to the latest record that
     holds a marker, else to the latest record.
     """
-    down = Window.partitionBy(*PAGE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     kv = T.key_value(F.col("text"))
     note, header = T.is_footnote(F.col("text")), T.is_section_header(F.col("text"))
     r = rows.withColumns({"is_note": note, "is_header": ~note & header, "kv": F.when(~note & ~header, kv)})
+    r = r.filter("is_note or is_header or kv is not null")  # others decide nothing and stay where they are
+    down = Window.partitionBy(*PAGE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     marker = F.lit(False)
     for m in ("*", '"', "”", "Run Time"):
         marker = marker | F.col("kv.attribute").contains(m) | F.col("kv.value").contains(m)

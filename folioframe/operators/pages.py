@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,15 +57,15 @@ class Block:
         return [self.table.column(c).take(pa.array(self.first[pages])).combine_chunks() for c in PAGE]
 
 
-def by_page(words: DataFrame, f: Callable[[Block], list[pa.Array]], schema: StructType) -> DataFrame:
+def by_page(words: DataFrame, f: Callable[[Block], list[pa.Array]], schema: StructType, more: tuple[str, ...] = ()) -> DataFrame:
     """PAGE and the columns of ``schema`` as ``f`` gives them for blocks of whole pages.
 
-    Words without a page or a full box take no part.
+    Words without a page or a full box take no part; ``more`` columns of theirs go along.
     """
     ship(words.sparkSession)
     full = words.dropna(subset=[*PAGE, *BOX])
     nth = F.row_number().over(Window.partitionBy(*PAGE).orderBy("word_no"))  # also partitions and sorts the rows
-    placed = full.select(*PAGE, F.col("word_no").cast("long").alias("word_no"), "text", *(F.col(c).cast("double").alias(c) for c in BOX), nth.alias("_nth"))
+    placed = full.select(*PAGE, F.col("word_no").cast("long").alias("word_no"), "text", *(F.col(c).cast("double").alias(c) for c in BOX), *more, nth.alias("_nth"))
     out = StructType([placed.schema[c] for c in PAGE] + schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +85,21 @@ def by_page(words: DataFrame, f: Callable[[Block], list[pa.Array]], schema: Stru
     return placed.mapInArrow(run, out)
 
 
+def few(batches: Iterator[pa.RecordBatch], most: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows: a row that holds a page is some hundred lines as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, most):
+            yield batch.slice(k, most)
+
+
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bound Arrow batches by bytes: 10,000 rows that hold a page each would take an executor's memory.
+
+    The setting stays, as the plans run after this.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def buckets(page: np.ndarray, word_no: np.ndarray, l: np.ndarray, t: np.ndarray, b: np.ndarray, tolerance: float) -> np.ndarray:  # noqa: E741
     """The bucket of each word in its page, as ``layout.bucketed`` numbers them."""
     start, step = bucket_rule(tolerance)
@@ -243,3 +258,84 @@ def zone_titles(block: Block, width: float, least: float, stops: tuple[str, ...]
         title[k] = texts[i]
     found = [pa.array(z.number, pa.int32()), pa.array(title, pa.string()), pa.array(first, pa.string()), *(pa.array(x, pa.float64()) for x in (zl, zt, zr, zb)), pa.array(n_words, pa.int64())]
     return [*block.keys(z.page), *found]
+
+
+def block_lines(block: Block, max_gap: float | None, tolerance: float, median_gap: float) -> tuple[Lines, np.ndarray]:
+    """Lines of the block's pages and where those of each page start; without ``max_gap`` ``median_gap`` medians."""
+    most: float | np.ndarray = 0.0 if max_gap is None else max_gap
+    if max_gap is None:
+        h, cuts = block.b - block.t, np.append(block.first, len(block.page))
+        most = np.repeat([median_gap * median(h[a:z]) for a, z in zip(cuts, cuts[1:])], np.diff(cuts))
+    box = (block.page, block["word_no"], block.l, block.t, block.r, block.b)
+    found = lines(*box, buckets(*box[:4], box[5], tolerance), most)
+    return found, np.searchsorted(found.page, np.arange(len(block.first) + 1))
+
+
+def median(heights: np.ndarray) -> float:
+    high = heights[heights > 2]
+    return float(np.median(high)) if len(high) else 10.0
+
+
+def line_lists(block: Block, max_gap: float | None, tolerance: float, median_gap: float) -> list[pa.Array]:
+    """One row a page: its lines in order."""
+    found, cuts = block_lines(block, max_gap, tolerance, median_gap)
+    fields = [pa.array(block.texts(found.words), pa.string()), *(pa.array(x, pa.float64()) for x in (found.l, found.t, found.r, found.b)), pa.array([len(x) for x in found.words], pa.int64())]
+    held = pa.StructArray.from_arrays(fields, names=["text", *BOX, "n_words"])
+    return [*block.keys(np.arange(len(block.first))), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), held)]
+
+
+def zone_rows(block: Block, width: float, least: float, tolerance: float) -> list[pa.Array]:
+    """The words of zones as rows by baseline, with their confidence if there is one."""
+    z = zoned(block.page, block.l, block.r, width, least)
+    l, t, b, word_no = (x[z.word] for x in (block.l, block.t, block.b, block["word_no"]))  # noqa: E741
+    bucket = buckets(z.zone, word_no, l, t, b, tolerance)
+    order = np.lexsort((word_no, t, l, bucket, z.zone))
+    starts = runs(z.zone[order], bucket[order])
+    zone = z.zone[order][starts]
+    c = block["confidence"].astype(float)[z.word][order] if "confidence" in block.table.column_names else np.ones(len(order))
+    if len(starts):
+        known = np.add.reduceat((~np.isnan(c)).astype(float), starts)
+        mean, low = np.divide(np.add.reduceat(np.nan_to_num(c), starts), known, out=np.full(len(starts), np.nan), where=known > 0), np.fmin.reduceat(c, starts)
+    else:
+        mean = low = np.empty(0)
+    texts = block.texts([z.word[order[a:e]] for a, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)])])
+    found = [pa.array(z.number[zone], pa.int32()), pa.array(bucket[order][starts], pa.int64()), pa.array(texts, pa.string()), *(pa.array(x, pa.float64(), from_pandas=True) for x in (mean, low))]
+    return [*block.keys(z.page[zone]), *found]
+
+
+def in_order(text: list[str], l: np.ndarray, t: np.ndarray, r: np.ndarray, b: np.ndarray, prefix: list, primary: list, secondary: list, width: float, height: float, rule: tuple) -> list[tuple]:  # noqa: E741
+    """Reading order of a page's lines: (line, section path, band, column)."""
+    start, step, gutter, heading_height = rule
+    med = median(b - t)
+    heading = (b - t >= heading_height * med) | (r - l >= 0.35 * width) | np.array([bool(x) for x in prefix], bool)
+    state, band = start(), []
+    for h, top, bottom in zip(heading.tolist(), t.tolist(), b.tolist()):
+        band.append(step(state, h, top > 0.88 * height, top, bottom, med))
+    band = np.array(band)
+    out = []
+    for own in np.split(np.arange(len(band)), runs(band)[1:]):
+        head = next((i for i in own.tolist() if heading[i]), None)
+        head_line = head if head is None else next(i for i in own.tolist() if text[i] == text[head])
+        body = own[own != head_line] if head is not None else own
+        narrow = body[r[body] - l[body] < 0.65 * width]
+        narrow = narrow[np.lexsort((r[narrow], l[narrow]))]
+        before = np.maximum.accumulate(r[narrow])[:-1]
+        gap = l[narrow][1:] - before
+        cut = (gap > 5.0) & (gap >= gutter)
+        gutters = (before[cut] + l[narrow][1:][cut]) / 2
+        left = np.searchsorted(gutters, (l[body] + r[body]) / 2)
+        column = np.unique(left, return_inverse=True)[1]
+        top_path = [] if head is None else [text[head]]
+        if head_line is not None:
+            out.append((head_line, top_path, int(band[head_line]), 0))
+        at, p, s = None, None, None
+        for j in np.lexsort((body, l[body], t[body], column)).tolist():
+            i = int(body[j])
+            if column[j] != at:
+                at, p, s = column[j], None, None
+            if primary[i]:
+                p, s = text[i], None  # a level below starts anew
+            elif secondary[i]:
+                s = text[i]
+            out.append((i, top_path + [x for x in (p, s) if x is not None], int(band[i]), int(column[j])))
+    return out

@@ -140,6 +140,50 @@ def test_table_zones_deal_out_no_words(spark, sf_dir):
     assert plan.count("Exchange ") == 1 and "REPARTITION_BY_COL" in plan and "Join" not in plan
 
 
+def test_pipeline_deals_out_texts_alone(spark, sf_dir):
+    """Words and lines of text are never dealt out: every pass begins with the texts, dealt out by document."""
+    from folioframe.plans import layout_queries as Q
+
+    out = D.process(Q.words(spark, sf_dir, dealt=True), Q.W, Q.H)
+    for name in ("blocks", "zones"):
+        plan = out[name]._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        assert plan.count("Exchange ") <= 2 and "SortMergeJoin" not in plan
+    D.release(out)
+
+
+def test_blocks_are_those_of_lines_bands_and_columns(spark):
+    """Random pages: reading order and chunks of pages as rows against the plans over lines."""
+    rng, rows = random.Random(5), []
+    for p in range(1, 30):
+        for i in range(rng.choice((1, 5, 60))):
+            l, t = float(rng.choice((40, 240, 440)) + rng.randrange(90)), float(rng.randrange(40, 760))
+            rows.append((p % 3, p, i, rng.choice(("a", "bc", "section", "Alpha", "Uses" * 40)), l, t, l + rng.randrange(2, 250), t + rng.choice((9.0, 10.0, 40.0))))
+    words = spark.createDataFrame(rows, WORD).repartition(3)
+    got = L.reading_order(words, 660.0, 792.0, "^Alpha", ("Uses",)).collect()
+    lines = L.bands(L.lines(words), 660.0, 792.0)
+    first = {}
+    for r in lines.orderBy("line_no").collect():
+        if r.heading is not None and r.text == r.heading:
+            first.setdefault((r.document_id, r.page_number, r.band), r.line_no)
+    heads = spark.createDataFrame([(*k, n) for k, n in first.items()], "document_id int, page_number int, band long, line_no long").withColumn("is_band_heading", F.lit(True))
+    placed = L.columns(lines.join(heads, [*L.PAGE, "band", "line_no"], "left").fillna({"is_band_heading": False}), 660.0)
+    want, n, state, at = [], {}, [None, None], None
+    for r in sorted(placed.collect(), key=lambda r: (r.document_id, r.page_number, r.band, not r.is_band_heading, r.column, r.t, r.l, r.line_no)):
+        key = (r.document_id, r.page_number)
+        n[key] = n.get(key, 0) + 1
+        if (place := (key, r.band, r.is_band_heading, r.column)) != at:
+            at, state = place, [None, None]
+        if not r.is_band_heading and r.text.startswith("Alpha"):
+            state = [r.text, None]
+        elif not r.is_band_heading and r.text == "Uses":
+            state[1] = r.text
+        want.append((*key, n[key], r.text, [x for x in (r.heading, *state) if x is not None], r.band, r.column, r.n_words))
+    assert sorted((r.document_id, r.page_number, r.block_no, r.text, r.section_path, r.band, r.column, r.n_words) for r in got) == sorted(want) and len(got) > 200
+    ordered = L.ordered_pages(words, 660.0, 792.0, "^Alpha", ("Uses",))
+    a, b = (sorted((r.chunk_id, r.section_path, r.text, r.tokens, r.n_blocks) for r in x.collect()) for x in (D.chunk_pages(ordered, 300), D.chunk_text(spark.createDataFrame(got), 300)))
+    assert a == b and a
+
+
 def test_low_confidence(spark):
     rows = [(1, 1, i, w, 10.0 + 40 * i, 100.0, 40.0 + 40 * i, 110.0, c) for i, (w, c) in enumerate([("Key:", 0.45), ("a", 0.5), ("b", 0.55), ("c", 0.5)])]
     df = spark.createDataFrame(rows, WORD + ", confidence double")
