@@ -174,6 +174,26 @@ def test_components_over_many_tasks(spark, monkeypatch):
     assert rounds
 
 
+def test_components_plans_stay_small(spark, monkeypatch):
+    """The driver keeps every plan and task: no plan of a round reads the links dozens of times, and few links need no round."""
+    edges = [(k, k + 1) for k in range(60)] + [(k, k + 100) for k in range(60)]
+    scans, labels = [], []
+
+    def save(df, label, *by):
+        scans.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+        labels.append(label)
+        return runtime.save(df, label, *by)
+
+    monkeypatch.setattr(graph, "save", save)
+    for held, stars in ((500_000, False), (3, True)):
+        monkeypatch.setattr(graph, "HELD", held)
+        scans.clear(), labels.clear()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+        assert set(got.values()) == {0} and len(got) == 120 + 1
+        assert max(scans) <= 8 and ("stars" in labels) == stars
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
