@@ -37,6 +37,12 @@ HEADER_STOPS = (":", "LBS", "KG", "RPM", "HP", "VDC", "AH", "GALLONS")
 # A numbered heading.
 HEADING_PREFIX = f"(?i)^(choose your{END}|section{END}|chapter{END}|part \\d+|view inside{END})"
 
+# The same for RE2, whose own folding of case goes beyond ASCII.
+HEADING_PREFIX_RE2 = "".join(f"[{x.upper()}{x}]" if x.islower() else x for x in "^(choose your@|section@|chapter@|part 0|view inside@)").replace("@", END).replace("0", "[0-9]")
+# For RE2: what every line matches that ``is_contact_or_legal`` takes, and every row that ``table_records`` uses.
+MAY_BE_CONTACT = r"(?i)://|ww|\.(com|org|net)|[0-9]{3}[-.\s\x0B]*[0-9]{3}[-.\s\x0B]*[0-9]{4}|[0-9]{5}|corporation|(inc|llc|ltd|gmbh)($|[^a-z0-9_])|all[\s\x0B]*rights|subject|changewithoutnotice|copyright|\(c\)|©"
+MAY_BE_RECORD = ":|^[*\\s\\x0B\"'“”]|(?i:based|system voltage)|^[^a-z]*$"
+
 
 def strip(c: Column) -> Column:
     """Trim all six ASCII white space characters, not only spaces."""

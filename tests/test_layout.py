@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,65 @@ def test_pipeline_deals_out_texts_alone(spark, sf_dir):
     D.release(out)
 
 
+def test_pipeline_chunks_hold_no_word_as_a_row(spark, sf_dir):
+    """Words as rows, once for every output, took 4472 CPU seconds a GB."""
+    from folioframe.plans import layout_queries as Q
+
+    plan = Q.pipeline_chunks(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("way", ["laid_out", "scattered"])
+def test_chunks_of_texts_are_those_of_the_pipeline(spark, way):
+    """Odd texts: the plan over texts gives all that the plan over words gives."""
+    from folioframe.plans import layout_queries as Q
+
+    def scattered(word_no, length):
+        """Boxes all over the page: bands by gaps, several columns, lines that run into each other."""
+        n = word_no
+        l = (40 + 200 * (n * 31 % 3) + n * 37 % 90).astype(float)
+        t = 40 + n * n * 53 % 1400 / 2 + 60 * (n * 7 % 4 == 0) * (n // 60 % 2)
+        return {"page_number": n // 60 + 1, "l": l, "t": t, "r": l + 2 + np.minimum(4 * length, 44) + 200 * (n % 29 == 0), "b": t + 9 + n * 7 % 5 + 30 * (n % 41 == 0)}
+
+    lay_out = Q.laid_out if way == "laid_out" else scattered
+    rng = random.Random(3)
+    pool = ("a", "Section", "sections", "chapter", "PART", "part 7", "Uses:", "Weight: 3 kg", "MOTOR", "MOTOR UNIT", "*", "Based on", "www.x.org", "© 2020", "Inc.", "inc\u00e9", "call 262-681-3583", "\u00e9t\u00e9", "\u2028", "x\u00a0y", "53182", "page 2", "\U0001f600", "\u017fection", "hp", "o" * 60)
+    texts = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "\u00a0"), (None, "no key")]
+    texts += [(10 + k, " \n"[k % 2].join(rng.choice(pool) for _ in range(rng.choice((3, 40, 400, 1500))))) for k in range(14)]
+    texts += [(40, " ".join("head line" if i % 600 < 12 else f"w{i % 97}" for i in range(2600))), (41, "page\x0b1\x0c" * 700)]
+    rows = []
+    for k, text in texts:
+        words = [] if text is None or k is None else [w.decode() for w in text.encode().split()] or [""]
+        at = lay_out(np.arange(len(words)), np.array([len(w) for w in words], int))
+        rows += [(k, int(at["page_number"][i]), i, w, *(float(at[c][i]) for c in "ltrb")) for i, w in enumerate(words)]
+    out = D.process(spark.createDataFrame(rows, WORD), Q.W, Q.H, 50)
+    want = sorted((r.document_id, r.page_number, r.chunk_id, r.section_path, r.text, r.tokens, r.chunk_type) for r in out["chunks"].collect())
+    stripped = out["stripped"].count()
+    D.release(out)
+    chunks = D.text_chunks(spark.createDataFrame(texts, "document_id int, text string").repartition(3), lay_out, Q.W, Q.H, 50)
+    got = sorted((r.document_id, r.page_number, r.chunk_id, r.section_path, r.text, r.tokens, r.chunk_type) for r in chunks.collect())
+    assert got == want
+    assert stripped and any(r[3] for r in got) and any("\n[MOTOR" in r[4] for r in got) and len({r[0] for r in got}) > 15
+
+
+def test_bucket_rounds_are_the_rule(spark):
+    from folioframe.operators import pages as P
+    from folioframe.operators.folds import bucket_rule
+
+    rng = np.random.default_rng(4)
+    for tolerance in (0.5, 4.0, 30.0):
+        n = 3000
+        page, l, t = np.sort(rng.integers(0, 20, n)), rng.integers(0, 600, n) / 2, rng.integers(0, 3000, n) / 4
+        b, word_no = t + rng.choice((0.0, 9.0, 11.5, 80.0), n), np.arange(n)
+        start, step = bucket_rule(tolerance)
+        want = np.empty(n, int)
+        for p in range(20):
+            own, state = np.flatnonzero(page == p), start()
+            for i in own[np.lexsort((word_no[own], l[own], t[own]))]:
+                want[i] = step(state, float(t[i]), float(b[i]))
+        assert np.array_equal(P.buckets(page, word_no, l, t, b, tolerance), want)
+
+
 def test_blocks_are_those_of_lines_bands_and_columns(spark):
     """Random pages: reading order and chunks of pages as rows against the plans over lines."""
     rng, rows = random.Random(5), []
