@@ -173,11 +173,16 @@ def aggregates(spark, sf_dir):
 
 @query("rel22_upsert", "SELECT document_id, max_by(size, v) AS size FROM (SELECT o_orderkey AS document_id, o_totalprice AS size, 1 AS v FROM orders UNION ALL SELECT l_orderkey, l_extendedprice, 1 + l_linenumber FROM lineitem) GROUP BY document_id")
 def upsert(spark, sf_dir):
-    """Rows of one order and line number are told apart by their places in the files: the first one wins."""
+    """Rows of one order and line number are told apart by their places in the files: the first one wins.
+
+    Rows without a size have no version either, as the SQL passes over rows without one of both.
+    """
+    version = lambda v, size: F.when(F.col(size).isNotNull(), v).alias("v")
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_no")]
-    old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_totalprice").alias("size"), F.lit(1).alias("v"), *place)
-    new = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_extendedprice").alias("size"), (F.col("l_linenumber") + 1).alias("v"), *place)
-    return R.upsert(old, new, "document_id", "v", ("file", "row_no")).select("document_id", "size")
+    old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_totalprice").alias("size"), version(F.lit(1), "o_totalprice"), *place)
+    new = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_extendedprice").alias("size"), version(F.col("l_linenumber") + 1, "l_extendedprice"), *place)
+    out = R.upsert(old, new, "document_id", "v", ("file", "row_no"))
+    return out.select("document_id", F.when(F.col("v").isNotNull(), F.col("size")).alias("size"))
 
 
 @query("rel23_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")

@@ -185,6 +185,22 @@ def test_upsert_takes_the_first_of_equal_versions(spark, tmp_path):
     assert got == dict(con.sql(catalogue.ORACLES["rel22_upsert"]).fetchall())
 
 
+def test_upsert_passes_rows_without_a_size_or_version_over(spark, tmp_path):
+    import duckdb
+
+    from folioframe.plans import catalogue
+
+    lines = [(1, None, 3), (1, 7.0, 2), (2, 5.0, None), (3, None, 1), (4, None, None), (None, 6.0, 1), (None, None, 2), (6, float("nan"), 2), (6, 1.0, 1), (7, 3.0, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_extendedprice double, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 0.5), (2, 0.25), (3, 0.75), (5, None)], "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(str, map(tuple, catalogue.QUERIES["rel22_upsert"](spark, str(tmp_path)).collect())))
+    assert got == sorted(map(str, con.execute(catalogue.ORACLES["rel22_upsert"]).fetchall()))
+    assert {"(1, 7.0)", "(2, 0.25)", "(3, 0.75)", "(4, None)", "(5, None)", "(None, 6.0)", "(6, nan)", "(7, None)"} == set(got)
+
+
 def test_upsert_keeps_the_target_at_equal_versions(spark):
     frame = lambda *rows: spark.createDataFrame(list(rows), "k int, v int, x string, n int")
     old, new = frame((1, 1, "old", 9), (2, 1, "old", 9)), frame((1, 1, "b", 2), (2, 2, "b", 2), (2, 2, "a", 1), (3, 1, "b", 2), (3, 1, "a", 1))
